@@ -102,7 +102,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, rows_per_rank: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, rows_per_rank: int = 2_000) -> DataFrame:
     """Add sequence_id and offset to a *materialised* table of pieces; any further columns stay."""
     spark = pieces.sparkSession
     by_length = pieces.groupBy("length").count().collect()  # at most `capacity` rows
