@@ -7,9 +7,8 @@ Parquet and read again as the next stage's docs. All but the last return the col
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from graphfold.llm import best_fit_packing, quality_rules, secret_scan
+from graphfold.llm import best_fit_packing, decontamination, jaccard_join, quality_rules, secret_scan
 from graphfold.llm.common import materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,6 +20,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar documents stays, the one with the least doc_id."""
+    return jaccard_join.keep_one(docs.select(*COLUMNS))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets are replaced."""
     return secret_scan.redact(docs.select(*COLUMNS))
@@ -33,7 +42,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(docs, path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", quality), ("secret_scans", secrets), ("best_fit_packing", packing)]
+STAGES = [("quality_rules", quality), ("ngram_jaccard_join", near_duplicates), ("benchmark_decontamination", decontaminate), ("secret_scans", secrets), ("best_fit_packing", packing)]
 
 #: The trees of the first stage can't be written as SQL.
 ORACLE_SQL = None

@@ -74,13 +74,12 @@ class ItemIndex:
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         ball = np.array([sum(1 << b for b in c) for r in range(radius // blocks + 1) for c in itertools.combinations(range(self.bits), r)], np.int64)
-        self.tables = []
+        self.tables = []  # per block: first place of each value, items by value
         for j in range(blocks):
-            where: dict[int, list[int]] = {}
-            for k, p in enumerate(self.block(self.prints, j)):
-                for v in (int(p) ^ ball).tolist():
-                    where.setdefault(v, []).append(k)
-            self.tables.append({v: np.array(k, np.int32) for v, k in where.items()})
+            value = (self.block(self.prints, j)[:, None] ^ ball).ravel()
+            item = np.repeat(np.arange(len(self.prints), dtype=np.int32), len(ball))
+            first = np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << self.bits))]).astype(np.int64)
+            self.tables.append((first, item[np.argsort(value, kind="stable")]))
 
     def block(self, prints: np.ndarray, j: int) -> np.ndarray:
         return ((prints >> np.uint64(j * self.bits)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
@@ -92,10 +91,10 @@ class ItemIndex:
     def near(self, print_: int) -> np.ndarray:
         """All items within the radius of a fingerprint."""
         p = np.uint64(print_)
-        found = [t.get(int(self.block(np.array([p]), j)[0])) for j, t in enumerate(self.tables)]
-        found = [f for f in found if f is not None]
-        if not found:
-            return np.empty(0, np.int32)
+        found = []
+        for j, (first, item) in enumerate(self.tables):
+            v = (int(print_) >> j * self.bits) & ((1 << self.bits) - 1)
+            found.append(item[first[v] : first[v + 1]])
         k = np.unique(np.concatenate(found))
         return k[np.bitwise_count(self.prints[k] ^ p) <= self.radius]
 
@@ -155,16 +154,23 @@ def shingle_hashes_of(words: list[bytes], known: WordHash, size: int) -> np.ndar
     return shingle_hashes(words, known, size) if len(words) >= size else np.empty(0, np.uint64)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, max_items: int = 20_000) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, max_items: int = 1_000) -> DataFrame:
     """(doc_id, item_id, start, n_words, hamming, similarity): one row per document and item that it holds."""
+    out = None
+    for index in _indexes(docs.sparkSession, benchmark, max_items):
+        got = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_finder(index, threshold), MATCH)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _indexes(spark: SparkSession, benchmark: DataFrame, max_items: int) -> list:
+    """The items' index, sent to all tasks, in parts of about ``max_items`` items."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     parts = max(1, -(-items.count() // max_items))
-    out = None
+    out = []
     for p in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) if parts > 1 else items
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r.item_id, r.text.encode()) for r in mine.orderBy("item_id", "text").collect()]))  # bounded by max_items
-        got = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_finder(index, threshold), MATCH)
-        out = got if out is None else out.unionByName(got)
+        out.append(spark.sparkContext.broadcast(ItemIndex([(r.item_id, r.text.encode()) for r in mine.orderBy("item_id", "text").collect()])))
     return out
 
 
@@ -181,18 +187,22 @@ def _finder(index, threshold: float):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, max_items: int = 1_000) -> DataFrame:
     """The documents, all columns, that hold no benchmark item."""
-    items = [(r.item_id, r.text.encode()) for r in benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").collect()]
-    index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items))
+    schema = docs.schema
 
-    def run(batches):
-        own, known = index.value, NormalHash()
-        for b in batches:
-            keep = [not own.matches((t or b"").split(), known, threshold) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield b.filter(pa.array(keep, pa.bool_()))
+    def without(index):
+        def run(batches):
+            own, known = index.value, NormalHash()
+            for b in batches:
+                keep = [not own.matches((t or b"").split(), known, threshold) for t in b.column("text").cast(pa.binary()).to_pylist()]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        return run
 
-    return docs.mapInArrow(run, docs.schema)
+    for index in _indexes(docs.sparkSession, benchmark, max_items):
+        docs = docs.mapInArrow(without(index), schema)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import components, discard, materialise, table
+from graphfold.llm.common import components, materialise, table
 from graphfold.llm.jaccard import MinHash, WordHash, exact_classes, groups, local_classes, shingles
 
 COORDINATES = 64

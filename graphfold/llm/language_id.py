@@ -118,8 +118,9 @@ class Segmenter:
         owner = np.repeat(np.arange(len(words)), [-(-len(w) // 48) for w in words])
         out = np.zeros((len(whole), self.prob.shape[1]))
         order = np.argsort([len(w) for w in whole], kind="stable")
-        for at in range(0, len(order), 8192):
-            pick = order[at : at + 8192]
+        step = max(128, 32_768 // self.prob.shape[1])  # bounds the forward table for any number of languages
+        for at in range(0, len(order), step):
+            pick = order[at : at + step]
             codes, n = self.trie.codes([whole[i] for i in pick])
             out[pick] = np.log(np.maximum(self.forward(codes)[np.arange(len(pick)), n], 1e-300))
         total = np.zeros((len(words), self.prob.shape[1]))
