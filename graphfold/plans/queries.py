@@ -1,13 +1,499 @@
-"""Registry of the engine's queries with their SQL; filled from the modules beside it."""
+"""Registry of the engine's queries, each with the same question in SQL.
+
+Graphs come from the tables: parts that share an order, suppliers that share an order, and bipartite ones. Queries on a partition use
+rep = node mod k; queries on groups use min-hashes under the portable hash, which any SQL engine can repeat.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphfold.checkpoint import materialise
+from graphfold.functions.hashing import portable_hash
+from graphfold.operators import candidates, divide, encode, gain, matching, quotient
+from graphfold.plans.engine import SummarizeConfig, fingerprint, summarize
+from graphfold.sources import graphs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+PARTS_K, SUPP_K = 250, 7
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["partition_cost"](spark, sf_dir)
 
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+# --- inputs -------------------------------------------------------------------------------------------------------------
+
+
+class Setup:
+    """A graph under its fixed partition."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, which: str = "parts"):
+        self.edges = (graphs.copurchase if which == "parts" else graphs.supp_cooccur)(spark, sf_dir)
+        self.edges = materialise(self.edges, "edges")  # read several times below
+        self.nodes = graphs.node_domain(self.edges)
+        self.partition = quotient.modulo_partition(self.nodes, PARTS_K if which == "parts" else SUPP_K)
+        self.blocks = quotient.quotient(self.edges, self.partition)
+        self.sizes = quotient.supernode_sizes(self.partition)
+
+    def groups(self) -> DataFrame:
+        """Reps with equal min-hash of their members' neighbourhoods, modulo 8 so that groups have several members."""
+        h = divide.supernode_minhash(self.edges, self.partition, portable_hash)
+        return h.select("rep", (F.col("minhash") % 8).cast("string").alias("group"), F.col("rep").alias("idx"))
+
+    def pairs(self) -> DataFrame:
+        r = self.sizes.select("rep", (F.col("rep") % 25).alias("m"))
+        return r.select(F.col("rep").alias("a"), "m").join(r.select(F.col("rep").alias("b"), "m"), "m").where("a < b").select("a", "b")
+
+
+def _edges_sql(item: str) -> str:
+    return f"it AS (SELECT DISTINCT l_orderkey AS k, {item} AS i FROM lineitem), edges AS (SELECT DISTINCT x.i AS u, y.i AS v FROM it x JOIN it y ON x.k = y.k AND x.i < y.i)"
+
+
+PARTS, SUPP = _edges_sql("l_partkey"), _edges_sql("l_suppkey")
+ARCS = "arcs AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges)"
+NODES = "nodes AS (SELECT unnest(range((SELECT max(v) + 1 FROM edges))) AS node)"
+
+
+def _state_sql(edges: str, k: int) -> str:
+    return (
+        f"{edges}, {ARCS}, {NODES}, lab AS (SELECT node, node % {k} AS rep FROM nodes), sizes AS (SELECT rep, count(*) AS size FROM lab GROUP BY rep), "
+        "blocks AS (SELECT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, count(*) AS edges FROM edges e JOIN lab x ON x.node = e.u JOIN lab y ON y.node = e.v GROUP BY 1, 2), "
+        f"costs AS (SELECT k.a, k.b, k.edges, x.size AS sa, y.size AS sb, {_bc('x.size', 'y.size', 'k.edges', 'k.a = k.b')} AS cost FROM blocks k JOIN sizes x ON x.rep = k.a JOIN sizes y ON y.rep = k.b), "
+        "nrow AS (SELECT a AS rep, b AS nbr, edges FROM blocks WHERE a <> b UNION ALL SELECT b, a, edges FROM blocks WHERE a <> b), "
+        "arow AS (SELECT * FROM nrow UNION ALL SELECT a, b, edges * 2 FROM blocks WHERE a = b)"
+    )
+
+
+def _cap(sa: str, sb: str, inside: str) -> str:
+    return f"CASE WHEN {inside} THEN ({sa}) * (({sa}) - 1) // 2 ELSE ({sa}) * ({sb}) END"
+
+
+def _bc(sa: str, sb: str, e: str, inside: str = "false") -> str:
+    return f"least({e}, 1 + {_cap(sa, sb, inside)} - ({e}))"
+
+
+P, S = f"WITH {_state_sql(PARTS, PARTS_K)}", f"WITH {_state_sql(SUPP, SUPP_K)}"
+HASH = "(48271 * ({x} + 1) + 12345) % 2147483647"
+SHINGLE = f"closed AS (SELECT u AS node, v AS w FROM arcs UNION ALL SELECT node, node FROM nodes), shingle AS (SELECT node, min({HASH.format(x='w')}) AS shingle FROM closed GROUP BY node)"
+MINHASH = f"{SHINGLE}, mh AS (SELECT rep, min(shingle) AS minhash FROM shingle JOIN lab USING (node) GROUP BY rep)"
+GROUPS = f"{MINHASH}, grp AS (SELECT rep, CAST(minhash % 8 AS VARCHAR) AS g FROM mh)"
+PAIRS = "pairs AS (SELECT x.rep AS a, y.rep AS b FROM sizes x JOIN sizes y ON x.rep % 25 = y.rep % 25 AND x.rep < y.rep)"
+
+
+# --- sources ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PARTS} SELECT u, v FROM edges")
+def edges_copurchase(spark, sf_dir):
+    return graphs.copurchase(spark, sf_dir)
+
+
+@query(f"WITH {SUPP} SELECT u, v FROM edges")
+def edges_supp_cooccur(spark, sf_dir):
+    return graphs.supp_cooccur(spark, sf_dir)
+
+
+@query("SELECT DISTINCT l_suppkey AS u, l_partkey + (SELECT max(s_suppkey) + 1 FROM supplier) AS v FROM lineitem")
+def edges_supp_part(spark, sf_dir):
+    return graphs.supp_part(spark, sf_dir)
+
+
+@query("SELECT DISTINCT o_custkey AS u, l_partkey + (SELECT max(c_custkey) + 1 FROM customer) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def edges_cust_part(spark, sf_dir):
+    return graphs.cust_part(spark, sf_dir)
+
+
+@query("SELECT DISTINCT o_custkey AS u, l_suppkey + (SELECT max(c_custkey) + 1 FROM customer) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def edges_cust_supp(spark, sf_dir):
+    return graphs.cust_supp(spark, sf_dir)
+
+
+@query(f"WITH {SUPP}, {ARCS} SELECT u, v FROM arcs")
+def arcs(spark, sf_dir):
+    return graphs.arcs(graphs.supp_cooccur(spark, sf_dir))
+
+
+@query("WITH e AS (SELECT DISTINCT o_custkey AS u, l_partkey + (SELECT max(c_custkey) + 1 FROM customer) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT unnest(range((SELECT max(v) + 1 FROM e))) AS node), d AS (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM e UNION ALL SELECT v FROM e) GROUP BY node) SELECT n.node, coalesce(degree, 0) AS degree FROM n LEFT JOIN d USING (node)")
+def node_domain_degree(spark, sf_dir):
+    e = graphs.cust_part(spark, sf_dir)
+    return graphs.node_domain(e).join(graphs.degrees(e), "node", "left").select("node", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+
+
+@query(f"WITH {PARTS}, {ARCS} SELECT u AS node, count(*) AS degree FROM arcs GROUP BY u ORDER BY degree DESC, node LIMIT 10")
+def degree_top10(spark, sf_dir):
+    return graphs.degrees(graphs.copurchase(spark, sf_dir)).orderBy(F.desc("degree"), "node").limit(10)
+
+
+# --- divide -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"{P}, {SHINGLE} SELECT node, shingle FROM shingle")
+def node_shingle(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return divide.node_shingle(s.edges, s.nodes, portable_hash)
+
+
+@query(f"{P}, {MINHASH} SELECT rep, minhash FROM mh")
+def supernode_minhash(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return divide.supernode_minhash(s.edges, s.partition, portable_hash)
+
+
+@query(f"{P}, {MINHASH} SELECT minhash, count(*) AS members FROM mh GROUP BY minhash")
+def minhash_group_sizes(spark, sf_dir):
+    return supernode_minhash(spark, sf_dir).groupBy("minhash").agg(F.count("*").alias("members"))
+
+
+_SECOND = "closed2 AS (SELECT u AS node, v AS w FROM arcs UNION ALL SELECT node, node FROM nodes), mh2 AS (SELECT rep, min((69621 * (w + 1) + 777) % 2147483647) AS h2 FROM closed2 JOIN lab USING (node) GROUP BY rep)"
+
+
+@query(f"{P}, {GROUPS}, {_SECOND}, n AS (SELECT g, count(*) AS n FROM grp GROUP BY g) SELECT rep, CASE WHEN n > 20 THEN g || ':' || h2 ELSE g END AS \"group\" FROM grp JOIN n USING (g) JOIN mh2 USING (rep)")
+def split_oversized(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    g = materialise(s.groups().select("rep", "group"), "groups")
+    big = divide.oversized(g, 20)
+    second = divide.supernode_minhash(s.edges, s.partition, lambda c: portable_hash(c, 69621, 777))
+    return g.join(big.select("rep"), "rep", "left_anti").unionByName(divide.split_by_hash(big, second))
+
+
+@query(f"{P}, {GROUPS}, o AS (SELECT rep, g, row_number() OVER (PARTITION BY g ORDER BY {HASH.format(x='rep')}, rep) - 1 AS idx FROM grp) SELECT rep, g AS \"group\", idx, idx // 10 AS chunk FROM o")
+def ordered_chunks(spark, sf_dir):
+    return divide._chunks(Setup(spark, sf_dir).groups().select("rep", "group"), portable_hash(F.col("rep")), 10)
+
+
+# --- quotient graph and costs -------------------------------------------------------------------------------------------
+
+
+@query(f"{P} SELECT rep, size FROM sizes")
+def supernode_sizes(spark, sf_dir):
+    return Setup(spark, sf_dir).sizes
+
+
+@query(f"{P} SELECT a, b, edges FROM blocks")
+def quotient_edges(spark, sf_dir):
+    return Setup(spark, sf_dir).blocks
+
+
+@query(f"{P} SELECT rep, nbr, edges FROM nrow")
+def quotient_rows(spark, sf_dir):
+    return quotient.rows(Setup(spark, sf_dir).blocks)
+
+
+@query(f"{P} SELECT rep, nbr, edges FROM arow")
+def quotient_arc_rows(spark, sf_dir):
+    return quotient.arc_rows(Setup(spark, sf_dir).blocks)
+
+
+@query(f"{P} SELECT s.rep, s.size, coalesce(k.edges, 0) AS internal_edges FROM sizes s LEFT JOIN blocks k ON k.a = s.rep AND k.b = s.rep")
+def internal_edges(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return quotient.internal_edges(s.blocks, s.sizes)
+
+
+@query(f"{P}, n AS (SELECT rep, count(*) AS n FROM nrow GROUP BY rep) SELECT CAST(sum(n) AS BIGINT) AS nnz, max(n) AS max_row_degree FROM n")
+def quotient_shape(spark, sf_dir):
+    return quotient.shape(Setup(spark, sf_dir).blocks)
+
+
+@query(f"{P} SELECT a, b, edges, sa, sb, {_cap('sa', 'sb', 'a = b')} AS capacity, cost FROM costs")
+def block_cost(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return quotient.block_costs(s.blocks, s.sizes)
+
+
+@query(f"{P} SELECT CAST(sum(cost) AS BIGINT) AS cost FROM costs")
+def partition_cost(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return quotient.partition_cost(s.blocks, s.sizes)
+
+
+@query(f"WITH {PARTS} SELECT count(*) AS cost FROM edges")
+def singleton_cost(spark, sf_dir):
+    e = materialise(graphs.copurchase(spark, sf_dir), "edges")
+    one = quotient.singletons(graphs.node_domain(e))
+    return quotient.partition_cost(quotient.quotient(e, one), quotient.supernode_sizes(one))
+
+
+_INCIDENT = "inc AS (SELECT s.rep, CAST(coalesce(sum(c.cost), 0) AS BIGINT) AS incident FROM sizes s LEFT JOIN costs c ON c.a = s.rep OR c.b = s.rep GROUP BY s.rep)"
+
+
+@query(f"{P}, {_INCIDENT} SELECT rep, incident FROM inc")
+def incident_cost(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return quotient.incident_costs(s.blocks, s.sizes)
+
+
+# --- gains --------------------------------------------------------------------------------------------------------------
+
+_ENDS = f"""{_INCIDENT}, {PAIRS}, ends AS (SELECT p.a, p.b, x.size AS sa, y.size AS sb, coalesce(k.edges, 0) AS ab, coalesce(i.edges, 0) AS ia, coalesce(j.edges, 0) AS ib, m.incident AS ca, n.incident AS cb
+  FROM pairs p JOIN sizes x ON x.rep = p.a JOIN sizes y ON y.rep = p.b JOIN inc m ON m.rep = p.a JOIN inc n ON n.rep = p.b
+  LEFT JOIN blocks k ON k.a = p.a AND k.b = p.b LEFT JOIN blocks i ON i.a = p.a AND i.b = p.a LEFT JOIN blocks j ON j.a = p.b AND j.b = p.b),
+head AS (SELECT a, b, sa + sb AS s, ca + cb - {_bc('sa', 'sb', 'ab')} AS before_cost, {_bc('sa + sb', 'sa + sb', 'ia + ib + ab', 'true')} AS inn FROM ends)"""
+_MERGED = "un AS (SELECT p.a, p.b, r.nbr AS x, r.edges AS ea, 0 AS eb FROM pairs p JOIN {r} r ON r.rep = p.a UNION ALL SELECT p.a, p.b, r.nbr, 0, r.edges FROM pairs p JOIN {r} r ON r.rep = p.b), mer AS (SELECT a, b, x, sum(ea) AS ea, sum(eb) AS eb FROM un GROUP BY 1, 2, 3)"
+_GAIN = f"{_ENDS}, {_MERGED.format(r='nrow')}, aft AS (SELECT m.a, m.b, sum({_bc('h.s', 'z.size', 'ea + eb')}) AS after FROM mer m JOIN head h ON h.a = m.a AND h.b = m.b JOIN sizes z ON z.rep = m.x WHERE m.x <> m.a AND m.x <> m.b GROUP BY 1, 2), scored AS (SELECT h.a, h.b, CAST(before_cost - inn - coalesce(after, 0) AS BIGINT) AS gain, CAST(before_cost AS BIGINT) AS before_cost FROM head h LEFT JOIN aft USING (a, b))"
+
+
+@query(f"{P}, {_GAIN} SELECT a, b, gain, before_cost FROM scored")
+def gain_mags(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return gain.exact_gain(s.pairs(), s.blocks, s.sizes)
+
+
+_LEGACY = f"""{PAIRS}, {_MERGED.format(r='arow')}, t AS (SELECT m.*, x.size AS sa, y.size AS sb, z.size AS sx FROM mer m JOIN sizes x ON x.rep = m.a JOIN sizes y ON y.rep = m.b JOIN sizes z ON z.rep = m.x)
+SELECT a, b, CAST(sum({_bc('sa', 'sx', 'ea', 'x = a')} + {_bc('sb', 'sx', 'eb', 'x = b')} - {_bc('sa + sb', 'sx', 'ea + eb', 'x = a OR x = b')}) AS BIGINT) AS gain, CAST(sum({_bc('sa', 'sx', 'ea', 'x = a')} + {_bc('sb', 'sx', 'eb', 'x = b')}) AS BIGINT) AS before_cost FROM t GROUP BY a, b"""
+
+
+@query(f"{P}, {_LEGACY}")
+def gain_legacy(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return gain.legacy_gain(s.pairs(), s.blocks, s.sizes)
+
+
+@query(f"{P}, {_ENDS} SELECT a, b, before_cost, before_cost - inn AS upper_bound FROM head")
+def gain_upper_bound(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return gain.upper_bound(s.pairs(), s.blocks, s.sizes)
+
+
+@query(f"{P}, {_ENDS} SELECT a, b, before_cost, before_cost - inn AS upper_bound FROM head WHERE before_cost > inn AND before_cost > 0 AND (before_cost - inn) / before_cost >= 0.97")
+def certified_pairs(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return gain.certified(s.pairs(), s.blocks, s.sizes, 0.97)
+
+
+# --- candidates ---------------------------------------------------------------------------------------------------------
+
+_OLD = f"old AS (SELECT s.rep, CAST(coalesce(sum({_bc('s.size', 'n.size', 'r.edges', 'r.rep = r.nbr')}), 0) AS BIGINT) AS old_cost FROM sizes s LEFT JOIN arow r ON r.rep = s.rep LEFT JOIN sizes n ON n.rep = r.nbr GROUP BY s.rep)"
+_SHARED = f"""sh AS (SELECT g AS grp, a, b, CAST(sum(d) AS BIGINT) AS shared FROM (
+  SELECT ga.g, x.rep AS a, y.rep AS b, {_bc('sx.size', 'sn.size', 'x.edges')} + {_bc('sy.size', 'sn.size', 'y.edges')} - {_bc('sx.size + sy.size', 'sn.size', 'x.edges + y.edges')} AS d
+  FROM nrow x JOIN grp ga ON ga.rep = x.rep JOIN nrow y ON y.nbr = x.nbr AND x.rep < y.rep JOIN grp gb ON gb.rep = y.rep AND gb.g = ga.g
+  JOIN sizes sx ON sx.rep = x.rep JOIN sizes sy ON sy.rep = y.rep JOIN sizes sn ON sn.rep = x.nbr WHERE x.nbr <> y.rep AND x.nbr <> x.rep) WHERE d > 0 GROUP BY 1, 2, 3)"""
+_DIRECT = "di AS (SELECT x.g AS grp, k.a, k.b, k.edges AS direct FROM blocks k JOIN grp x ON x.rep = k.a JOIN grp y ON y.rep = k.b AND x.g = y.g WHERE k.a <> k.b)"
+_PROXY = f"{GROUPS}, {_OLD}, {_SHARED}, {_DIRECT}, prox AS (SELECT u.grp, u.a, u.b, CAST(sum(g) AS BIGINT) AS proxy_gain, sum(g) / greatest(1, any_value(x.old_cost + y.old_cost)) AS proxy_ratio FROM (SELECT grp, a, b, shared AS g FROM sh UNION ALL SELECT grp, a, b, direct FROM di) u JOIN old x ON x.rep = u.a JOIN old y ON y.rep = u.b GROUP BY 1, 2, 3)"
+
+
+@query(f"{P}, {_OLD} SELECT rep, old_cost FROM old")
+def approx_old_cost(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return candidates.old_costs(s.blocks, s.sizes)
+
+
+@query(f'{P}, {GROUPS}, {_SHARED} SELECT grp AS "group", a, b, shared FROM sh')
+def proxy_shared(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return candidates.proxy_shared(s.blocks, s.sizes, s.groups())
+
+
+@query(f'{P}, {GROUPS}, {_DIRECT} SELECT grp AS "group", a, b, direct FROM di')
+def proxy_direct(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return candidates.proxy_direct(s.blocks, s.groups())
+
+
+@query(f'{P}, {_PROXY} SELECT grp AS "group", a, b, proxy_gain, round(proxy_ratio, 9) AS proxy_ratio FROM prox')
+def proxy_total(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return candidates.proxy(s.blocks, s.sizes, s.groups()).withColumn("proxy_ratio", F.round("proxy_ratio", 9))
+
+
+_TOPK = "ends AS (SELECT *, a AS e FROM prox UNION ALL SELECT *, b FROM prox), gn AS (SELECT g, greatest(1, least(4, count(*) - 1)) AS k FROM grp GROUP BY g), rk AS (SELECT *, row_number() OVER (PARTITION BY grp, e ORDER BY proxy_ratio DESC, proxy_gain DESC, a, b) AS r FROM ends)"
+
+
+@query(f'{P}, {_PROXY}, {_TOPK} SELECT DISTINCT grp AS "group", a, b, proxy_gain FROM rk JOIN gn ON gn.g = rk.grp WHERE r <= k')
+def topk_candidates(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    g = materialise(s.groups(), "groups")
+    return candidates.top_k(candidates.proxy(s.blocks, s.sizes, g), g, 4).drop("proxy_ratio")
+
+
+_NEAR = "near AS (SELECT rep AS source, nbr AS target, edges AS score, row_number() OVER (PARTITION BY rep ORDER BY edges DESC, nbr) AS r FROM nrow)"
+
+
+@query(f"{P}, {_NEAR} SELECT source, target, 0 AS source_type, score FROM near WHERE r <= 8")
+def proposals_direct(spark, sf_dir):
+    return candidates.direct_proposals(Setup(spark, sf_dir).blocks, 8)
+
+
+@query(f"{P}, {_NEAR} SELECT x.source, y.target, 1 AS source_type, least(x.score, y.score) AS score FROM near x JOIN near y ON y.source = x.target WHERE x.r <= 2 AND y.r <= 8 AND y.target <> x.source")
+def proposals_two_hop(spark, sf_dir):
+    return candidates.two_hop_proposals(Setup(spark, sf_dir).blocks, 8)
+
+
+_FEATURES = """feat AS (SELECT rep, nbr, res >= 0 AS sign, least(15, CASE WHEN norm > 0 THEN length(bin(norm)) - 1 ELSE 0 END) AS bin, norm FROM (
+  SELECT *, row_number() OVER (PARTITION BY rep ORDER BY norm DESC, abs(res) DESC, nbr) AS r FROM (
+    SELECT x.rep, x.nbr, 2 * x.edges - s.size * n.size AS res, abs(2 * x.edges - s.size * n.size) * 1024 // (s.size * n.size) AS norm FROM nrow x JOIN sizes s ON s.rep = x.rep JOIN sizes n ON n.rep = x.nbr)) WHERE r <= 8)"""
+_BUCKETS = "buck AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY nbr, sign, bin ORDER BY norm DESC, rep) AS r FROM feat) WHERE r <= 8)"
+
+
+@query(f"{P}, {_FEATURES} SELECT rep, nbr, sign, CAST(bin AS INTEGER) AS bin, norm FROM feat")
+def residual_features(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return candidates.residual_features(s.blocks, s.sizes)
+
+
+@query(f"{P}, {_FEATURES}, {_BUCKETS} SELECT rep, nbr, sign, CAST(bin AS INTEGER) AS bin, norm FROM buck")
+def residual_buckets(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return candidates.residual_buckets(candidates.residual_features(s.blocks, s.sizes))
+
+
+@query(
+    f"""{P}, {_FEATURES}, {_BUCKETS}, met AS (SELECT DISTINCT f.rep AS source, t.rep AS target FROM feat f JOIN buck t USING (nbr, sign, bin) WHERE f.rep <> t.rep),
+al AS (SELECT source, target, sum(CASE WHEN x.sign = y.sign THEN least(x.norm, y.norm) ELSE 0 END) AS al, sum(CASE WHEN x.sign <> y.sign THEN least(x.norm, y.norm) ELSE 0 END) AS co FROM met JOIN feat x ON x.rep = source JOIN feat y ON y.rep = target AND y.nbr = x.nbr GROUP BY 1, 2)
+SELECT source, target, CAST(4 * al - 3 * co + 128 // (1 + abs(length(bin(s.size)) - length(bin(t.size)))) + CASE WHEN k.edges > 0 THEN 128 ELSE 0 END AS BIGINT) AS score
+FROM al JOIN sizes s ON s.rep = source JOIN sizes t ON t.rep = target LEFT JOIN blocks k ON k.a = least(source, target) AND k.b = greatest(source, target)"""
+)
+def residual_scores(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return candidates.residual_scores(materialise(candidates.residual_features(s.blocks, s.sizes), "features"), s.blocks, s.sizes)
+
+
+# --- selection and merging ----------------------------------------------------------------------------------------------
+
+
+def _scored(s: Setup) -> DataFrame:
+    g = gain.exact_gain(s.pairs(), s.blocks, s.sizes)
+    return g.select(F.lit("").alias("group"), F.col("a").alias("a_idx"), F.col("b").alias("b_idx"), "a", "b", "gain", "before_cost")
+
+
+_PASSED = "passed AS (SELECT a, b, gain, before_cost FROM scored WHERE gain > 0 AND before_cost > 0 AND gain / before_cost >= 0.001)"
+
+
+@query(f"{P}, {_GAIN}, {_PASSED} SELECT a, b, gain, before_cost FROM passed")
+def threshold_filter(spark, sf_dir):
+    return matching.threshold_filter(_scored(Setup(spark, sf_dir)), 0.001).select("a", "b", "gain", "before_cost")
+
+
+@query(f"{P}, {_GAIN}, r AS (SELECT gain / before_cost AS r, row_number() OVER (ORDER BY gain / before_cost) AS i, count(*) OVER () AS n FROM scored WHERE gain > 0 AND before_cost > 0) SELECT round(max(CASE WHEN i = CAST(floor(0.85 * (n - 1)) AS BIGINT) + 1 THEN r END), 9) AS quantile FROM r")
+def saving_quantile(spark, sf_dir):
+    return matching.lower_quantile(_scored(Setup(spark, sf_dir)), 0.85).select(F.round("quantile", 9).alias("quantile"))
+
+
+@query(f"{P}, {_GAIN}, {_PASSED}, e AS (SELECT *, a AS n FROM passed UNION ALL SELECT *, b FROM passed), f AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY gain DESC, a, b) AS r FROM e) SELECT a, b, any_value(gain) AS gain FROM f WHERE r = 1 GROUP BY a, b HAVING count(*) = 2")
+def mutual_best(spark, sf_dir):
+    return matching.best_partners(matching.threshold_filter(_scored(Setup(spark, sf_dir)), 0.001)).select("a", "b", "gain")
+
+
+@query()
+def greedy_matching(spark, sf_dir):
+    return matching.greedy(matching.threshold_filter(_scored(Setup(spark, sf_dir)))).select("a", "b", "gain")
+
+
+@query()
+def locally_dominant_matching(spark, sf_dir):
+    return matching.locally_dominant(matching.threshold_filter(_scored(Setup(spark, sf_dir)))).select("a", "b", "gain")
+
+
+def _merges(s: Setup) -> DataFrame:
+    return s.sizes.where("rep % 2 = 1").select((F.col("rep") - 1).alias("keep"), F.col("rep").alias("remove"))
+
+
+@query(f"{P} SELECT node, CASE WHEN rep % 2 = 1 THEN rep - 1 ELSE rep END AS rep FROM lab")
+def bulk_merge_labels(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return quotient.merge_labels(s.partition, _merges(s))
+
+
+@query(f"{P}, l2 AS (SELECT node, CASE WHEN rep % 2 = 1 THEN rep - 1 ELSE rep END AS rep FROM lab) SELECT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, count(*) AS edges FROM edges e JOIN l2 x ON x.node = e.u JOIN l2 y ON y.node = e.v GROUP BY 1, 2")
+def bulk_merge_blocks(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return quotient.merge_blocks(s.blocks, _merges(s))
+
+
+# --- encoding -----------------------------------------------------------------------------------------------------------
+
+_PLACED = "pl AS (SELECT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, CASE WHEN x.rep > y.rep THEN v ELSE u END AS u, CASE WHEN x.rep > y.rep THEN u ELSE v END AS v FROM edges e JOIN lab x ON x.node = e.u JOIN lab y ON y.node = e.v)"
+_DENSE = {
+    "mags": f"dn AS (SELECT a, b FROM costs WHERE edges > 1 + {_cap('sa', 'sb', 'a = b')} - edges)",
+    "legacy": "dn AS (SELECT a, b FROM costs WHERE CASE WHEN a = b THEN 8 * edges > sa * (sa - 1) ELSE 2 * edges > sa * sb END)",
+}
+
+
+def _encode_sql(objective: str) -> str:
+    both = "" if objective == "mags" else " UNION ALL SELECT a, b, v, u FROM pl WHERE a = b"
+    inside = "x.node < y.node" if objective == "mags" else "x.node <> y.node"
+    return f"""{S}, {_PLACED}, {_DENSE[objective]}, pp AS (SELECT a, b, u, v FROM pl{both}), sid AS (SELECT rep, row_number() OVER (ORDER BY rep) - 1 AS sid FROM sizes),
+cp AS (SELECT u, v FROM pp ANTI JOIN dn USING (a, b)),
+cm AS (SELECT x.node AS u, y.node AS v FROM dn JOIN lab x ON x.rep = dn.a JOIN lab y ON y.rep = dn.b WHERE dn.a <> dn.b OR {inside} EXCEPT SELECT u, v FROM pp)"""
+
+
+def _encoding(spark, sf_dir, objective: str = "mags") -> encode.Encoding:
+    s = Setup(spark, sf_dir, "supp")
+    return encode.encode(s.edges, s.partition, objective)
+
+
+def _register_encoding(objective: str) -> None:
+    sql = _encode_sql(objective)
+    parts = {
+        "p": ("P", "SELECT x.sid AS a, y.sid AS b FROM dn JOIN sid x ON x.rep = dn.a JOIN sid y ON y.rep = dn.b"),
+        "cp": ("Cp", "SELECT u, v FROM cp"),
+        "cm": ("Cm", "SELECT u, v FROM cm"),
+        "members": ("members", "SELECT sid, node FROM lab JOIN sid USING (rep)"),
+    }
+    for name, (attribute, tail) in parts.items():
+        QUERIES[f"encode_{objective}_{name}"] = lambda spark, sf_dir, a=attribute: getattr(_encoding(spark, sf_dir, objective), a)
+        ORACLES[f"encode_{objective}_{name}"] = f"{sql} {tail}"
+    double = "2 * c" if objective == "mags" else "2 * c - l"
+    QUERIES[f"compression_metrics_{objective}"] = lambda spark, sf_dir: encode.metrics(_encoding(spark, sf_dir, objective), graphs.supp_cooccur(spark, sf_dir).count())
+    ORACLES[f"compression_metrics_{objective}"] = f"""{sql}, k AS (SELECT (SELECT count(*) FROM dn WHERE a = b) AS l, (SELECT count(*) FROM dn WHERE a <> b) AS n, (SELECT count(*) FROM cp) AS cp, (SELECT count(*) FROM cm) AS cm, (SELECT count(*) FROM edges) AS m), t AS (SELECT *, l + n + cp + cm AS c FROM k)
+SELECT l AS superedges_loop, n AS superedges_nonloop, cp, cm, c AS cost_standard, {double} AS cost_x2, c / m AS ratio_standard, ({double}) / (m * 2) AS ratio_x2, 1 - c / m AS compression_gain FROM t"""
+
+
+for _objective in ("mags", "legacy"):
+    _register_encoding(_objective)
+
+
+@query(f"WITH {SUPP} SELECT u, v FROM edges")
+def reconstruct(spark, sf_dir):
+    return encode.reconstruct(_encoding(spark, sf_dir))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS differences")
+def reconstruct_difference(spark, sf_dir):
+    s = Setup(spark, sf_dir, "supp")
+    return encode.difference(s.edges, encode.encode(s.edges, s.partition, "legacy")).agg(F.count("*").alias("differences"))
+
+
+@query()
+def drop_lossy(spark, sf_dir):
+    s = Setup(spark, sf_dir, "supp")
+    return encode.metrics(encode.drop(encode.encode(s.edges, s.partition), s.edges, 0.2), s.edges.count())
+
+
+# --- the whole summarizer -----------------------------------------------------------------------------------------------
+
+
+def _summary(spark, sf_dir, **settings):
+    return summarize(graphs.supp_cooccur(spark, sf_dir), SummarizeConfig(**{"iterations": 3} | settings))
+
+
+@query()
+def summarize_full(spark, sf_dir):
+    return spark.createDataFrame([_summary(spark, sf_dir).metrics])
+
+
+@query()
+def summarize_profile(spark, sf_dir):
+    return _summary(spark, sf_dir, iterations=2, cost_objective="legacy").profile_frame().drop("seconds")
+
+
+@query()
+def partition_fingerprint(spark, sf_dir):
+    s = Setup(spark, sf_dir)
+    return spark.createDataFrame([(format(fingerprint(s.partition), "016x"),)], "partition_hash string")
