@@ -55,7 +55,7 @@ def fallback_chunks(groups: DataFrame, limit: int, iteration: int, seed: int) ->
 def rep_chunks(groups: DataFrame, limit: int) -> DataFrame:
     """Cut groups in rep order into chunks of ``limit``."""
     n = groups.agg(F.coalesce(F.max("rep"), F.lit(0))).first()[0] + 1
-    c = _chunks(groups, F.shiftleft((F.col("rep") * 256 / n).cast("long"), 56), limit)
+    c = _chunks(groups, F.shiftleft((F.col("rep") * 256 / n).cast("long") - 128, 56), limit)  # 256 ranges, signed
     return c.select("rep", F.concat_ws("/", "group", F.col("chunk").cast("string")).alias("group"), "idx")
 
 

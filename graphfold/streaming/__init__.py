@@ -1 +1 @@
-"""Part of graphfold."""
+"""The engine has no streaming operators; batch sinks that append are in graphfold.sources.sinks."""
