@@ -29,7 +29,7 @@ def saving_samples(scored: DataFrame, limit: int = 4096) -> list[float]:
 def lower_quantile(scored: DataFrame, q: float) -> DataFrame:
     """One row: element floor(q (n-1)) of the ordered positive savings. For bounded samples."""
     s = scored.where("before_cost > 0 and gain > 0").agg(F.sort_array(F.collect_list(F.col("gain") / F.col("before_cost"))).alias("s"))
-    return s.select(F.try_element_at("s", (F.floor(F.lit(q) * (F.size("s") - 1)) + 1).cast("int")).alias("quantile"))
+    return s.select(F.get("s", F.floor(F.lit(q) * (F.size("s") - 1)).cast("int")).alias("quantile"))  # null without positive savings
 
 
 def _rank() -> Column:

@@ -1,6 +1,6 @@
 """Registry of the engine's queries, each with the same question in SQL.
 
-Graphs come from the tables: parts that share an order, suppliers that share an order, and bipartite ones. Queries on a partition use
+Graphs come from the tables: parts that share an order, suppliers that share an order (once, or more often than the average pair), and bipartite ones. Queries on a partition use
 rep = node mod k; queries on groups use min-hashes under the portable hash, which any SQL engine can repeat.
 """
 
@@ -20,7 +20,8 @@ from graphfold.sources import graphs
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-PARTS_K, SUPP_K = 250, 7
+#: Graph -> supernodes of its fixed partition (rep = node mod k).
+SUPERNODES = {"copurchase": 250, "supp_cooccur": 50, "supp_strong": 7}
 
 
 def query(sql: str | None = None):
@@ -43,11 +44,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Setup:
     """A graph under its fixed partition."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, which: str = "parts"):
-        self.edges = (graphs.copurchase if which == "parts" else graphs.supp_cooccur)(spark, sf_dir)
-        self.edges = materialise(self.edges, "edges")  # read several times below
+    def __init__(self, spark: SparkSession, sf_dir: str, which: str = "copurchase"):
+        self.edges = materialise(getattr(graphs, which)(spark, sf_dir), "edges")  # read several times below
         self.nodes = graphs.node_domain(self.edges)
-        self.partition = quotient.modulo_partition(self.nodes, PARTS_K if which == "parts" else SUPP_K)
+        self.partition = quotient.modulo_partition(self.nodes, SUPERNODES[which])
         self.blocks = quotient.quotient(self.edges, self.partition)
         self.sizes = quotient.supernode_sizes(self.partition)
 
@@ -66,6 +66,7 @@ def _edges_sql(item: str) -> str:
 
 
 PARTS, SUPP = _edges_sql("l_partkey"), _edges_sql("l_suppkey")
+STRONG = "it AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem), co AS (SELECT x.i AS u, y.i AS v, count(*) AS c FROM it x JOIN it y ON x.k = y.k AND x.i < y.i GROUP BY 1, 2), edges AS (SELECT u, v FROM co WHERE c * (SELECT count(*) FROM co) >= (SELECT sum(c) FROM co))"
 ARCS = "arcs AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges)"
 NODES = "nodes AS (SELECT unnest(range((SELECT max(v) + 1 FROM edges))) AS node)"
 
@@ -88,7 +89,7 @@ def _bc(sa: str, sb: str, e: str, inside: str = "false") -> str:
     return f"least({e}, 1 + {_cap(sa, sb, inside)} - ({e}))"
 
 
-P, S = f"WITH {_state_sql(PARTS, PARTS_K)}", f"WITH {_state_sql(SUPP, SUPP_K)}"
+P, C, S = (f"WITH {_state_sql(e, SUPERNODES[k])}" for e, k in ((PARTS, "copurchase"), (SUPP, "supp_cooccur"), (STRONG, "supp_strong")))
 HASH = "(48271 * ({x} + 1) + 12345) % 2147483647"
 SHINGLE = f"closed AS (SELECT u AS node, v AS w FROM arcs UNION ALL SELECT node, node FROM nodes), shingle AS (SELECT node, min({HASH.format(x='w')}) AS shingle FROM closed GROUP BY node)"
 MINHASH = f"{SHINGLE}, mh AS (SELECT rep, min(shingle) AS minhash FROM shingle JOIN lab USING (node) GROUP BY rep)"
@@ -104,6 +105,11 @@ def edges_copurchase(spark, sf_dir):
     return graphs.copurchase(spark, sf_dir)
 
 
+@query(f"WITH {STRONG} SELECT u, v FROM edges")
+def edges_supp_strong(spark, sf_dir):
+    return graphs.supp_strong(spark, sf_dir)
+
+
 @query(f"WITH {SUPP} SELECT u, v FROM edges")
 def edges_supp_cooccur(spark, sf_dir):
     return graphs.supp_cooccur(spark, sf_dir)
@@ -372,32 +378,32 @@ def _scored(s: Setup) -> DataFrame:
     return g.select(F.lit("").alias("group"), F.col("a").alias("a_idx"), F.col("b").alias("b_idx"), "a", "b", "gain", "before_cost")
 
 
-_PASSED = "passed AS (SELECT a, b, gain, before_cost FROM scored WHERE gain > 0 AND before_cost > 0 AND gain / before_cost >= 0.001)"
+_PASSED = "passed AS (SELECT a, b, gain, before_cost FROM scored WHERE gain > 0 AND before_cost > 0 AND gain / before_cost >= 0.03)"
 
 
-@query(f"{P}, {_GAIN}, {_PASSED} SELECT a, b, gain, before_cost FROM passed")
+@query(f"{C}, {_GAIN}, {_PASSED} SELECT a, b, gain, before_cost FROM passed")
 def threshold_filter(spark, sf_dir):
-    return matching.threshold_filter(_scored(Setup(spark, sf_dir)), 0.001).select("a", "b", "gain", "before_cost")
+    return matching.threshold_filter(_scored(Setup(spark, sf_dir, "supp_cooccur")), 0.03).select("a", "b", "gain", "before_cost")
 
 
-@query(f"{P}, {_GAIN}, r AS (SELECT gain / before_cost AS r, row_number() OVER (ORDER BY gain / before_cost) AS i, count(*) OVER () AS n FROM scored WHERE gain > 0 AND before_cost > 0) SELECT round(max(CASE WHEN i = CAST(floor(0.85 * (n - 1)) AS BIGINT) + 1 THEN r END), 9) AS quantile FROM r")
+@query(f"{C}, {_GAIN}, r AS (SELECT gain / before_cost AS r, row_number() OVER (ORDER BY gain / before_cost) AS i, count(*) OVER () AS n FROM scored WHERE gain > 0 AND before_cost > 0) SELECT round(max(CASE WHEN i = CAST(floor(0.85 * (n - 1)) AS BIGINT) + 1 THEN r END), 9) AS quantile FROM r")
 def saving_quantile(spark, sf_dir):
-    return matching.lower_quantile(_scored(Setup(spark, sf_dir)), 0.85).select(F.round("quantile", 9).alias("quantile"))
+    return matching.lower_quantile(_scored(Setup(spark, sf_dir, "supp_cooccur")), 0.85).select(F.round("quantile", 9).alias("quantile"))
 
 
-@query(f"{P}, {_GAIN}, {_PASSED}, e AS (SELECT *, a AS n FROM passed UNION ALL SELECT *, b FROM passed), f AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY gain DESC, a, b) AS r FROM e) SELECT a, b, any_value(gain) AS gain FROM f WHERE r = 1 GROUP BY a, b HAVING count(*) = 2")
+@query(f"{C}, {_GAIN}, {_PASSED}, e AS (SELECT *, a AS n FROM passed UNION ALL SELECT *, b FROM passed), f AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY gain DESC, a, b) AS r FROM e) SELECT a, b, any_value(gain) AS gain FROM f WHERE r = 1 GROUP BY a, b HAVING count(*) = 2")
 def mutual_best(spark, sf_dir):
-    return matching.best_partners(matching.threshold_filter(_scored(Setup(spark, sf_dir)), 0.001)).select("a", "b", "gain")
+    return matching.best_partners(matching.threshold_filter(_scored(Setup(spark, sf_dir, "supp_cooccur")), 0.03)).select("a", "b", "gain")
 
 
 @query()
 def greedy_matching(spark, sf_dir):
-    return matching.greedy(matching.threshold_filter(_scored(Setup(spark, sf_dir)))).select("a", "b", "gain")
+    return matching.greedy(matching.threshold_filter(_scored(Setup(spark, sf_dir, "supp_cooccur")))).select("a", "b", "gain")
 
 
 @query()
 def locally_dominant_matching(spark, sf_dir):
-    return matching.locally_dominant(matching.threshold_filter(_scored(Setup(spark, sf_dir)))).select("a", "b", "gain")
+    return matching.locally_dominant(matching.threshold_filter(_scored(Setup(spark, sf_dir, "supp_cooccur")))).select("a", "b", "gain")
 
 
 def _merges(s: Setup) -> DataFrame:
@@ -434,7 +440,7 @@ cm AS (SELECT x.node AS u, y.node AS v FROM dn JOIN lab x ON x.rep = dn.a JOIN l
 
 
 def _encoding(spark, sf_dir, objective: str = "mags") -> encode.Encoding:
-    s = Setup(spark, sf_dir, "supp")
+    s = Setup(spark, sf_dir, "supp_strong")
     return encode.encode(s.edges, s.partition, objective)
 
 
@@ -450,7 +456,7 @@ def _register_encoding(objective: str) -> None:
         QUERIES[f"encode_{objective}_{name}"] = lambda spark, sf_dir, a=attribute: getattr(_encoding(spark, sf_dir, objective), a)
         ORACLES[f"encode_{objective}_{name}"] = f"{sql} {tail}"
     double = "2 * c" if objective == "mags" else "2 * c - l"
-    QUERIES[f"compression_metrics_{objective}"] = lambda spark, sf_dir: encode.metrics(_encoding(spark, sf_dir, objective), graphs.supp_cooccur(spark, sf_dir).count())
+    QUERIES[f"compression_metrics_{objective}"] = lambda spark, sf_dir: encode.metrics(_encoding(spark, sf_dir, objective), graphs.supp_strong(spark, sf_dir).count())
     ORACLES[f"compression_metrics_{objective}"] = f"""{sql}, k AS (SELECT (SELECT count(*) FROM dn WHERE a = b) AS l, (SELECT count(*) FROM dn WHERE a <> b) AS n, (SELECT count(*) FROM cp) AS cp, (SELECT count(*) FROM cm) AS cm, (SELECT count(*) FROM edges) AS m), t AS (SELECT *, l + n + cp + cm AS c FROM k)
 SELECT l AS superedges_loop, n AS superedges_nonloop, cp, cm, c AS cost_standard, {double} AS cost_x2, c / m AS ratio_standard, ({double}) / (m * 2) AS ratio_x2, 1 - c / m AS compression_gain FROM t"""
 
@@ -459,20 +465,20 @@ for _objective in ("mags", "legacy"):
     _register_encoding(_objective)
 
 
-@query(f"WITH {SUPP} SELECT u, v FROM edges")
+@query(f"WITH {STRONG} SELECT u, v FROM edges")
 def reconstruct(spark, sf_dir):
     return encode.reconstruct(_encoding(spark, sf_dir))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS differences")
 def reconstruct_difference(spark, sf_dir):
-    s = Setup(spark, sf_dir, "supp")
+    s = Setup(spark, sf_dir, "supp_strong")
     return encode.difference(s.edges, encode.encode(s.edges, s.partition, "legacy")).agg(F.count("*").alias("differences"))
 
 
 @query()
 def drop_lossy(spark, sf_dir):
-    s = Setup(spark, sf_dir, "supp")
+    s = Setup(spark, sf_dir, "supp_strong")
     return encode.metrics(encode.drop(encode.encode(s.edges, s.partition), s.edges, 0.2), s.edges.count())
 
 
@@ -480,7 +486,7 @@ def drop_lossy(spark, sf_dir):
 
 
 def _summary(spark, sf_dir, **settings):
-    return summarize(graphs.supp_cooccur(spark, sf_dir), SummarizeConfig(**{"iterations": 3} | settings))
+    return summarize(graphs.supp_strong(spark, sf_dir), SummarizeConfig(**{"iterations": 3} | settings))
 
 
 @query()

@@ -52,6 +52,18 @@ def copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co_occurrence(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
 
 
+def strong_pairs(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """co_occurrence() edges whose items share at least as many keys as the average pair does: a graph of medium density."""
+    one = rows.select(F.col(key).alias("k"), F.col(item).cast("long").alias("i")).distinct()
+    pairs = one.select("k", F.col("i").alias("u")).join(one.select("k", F.col("i").alias("v")), "k").where("u < v").groupBy("u", "v").agg(F.count("*").alias("c"))
+    total = pairs.agg(F.sum("c").alias("total"), F.count("*").alias("n"))
+    return pairs.crossJoin(F.broadcast(total)).where("c * n >= total").select("u", "v")  # one row of totals
+
+
+def supp_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strong_pairs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
+
+
 def supp_cooccur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co_occurrence(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
 
