@@ -91,8 +91,8 @@ def difference(edges: DataFrame, e: Encoding) -> DataFrame:
 
 def metrics(e: Encoding, n_edges: int) -> DataFrame:
     """One row: counts, the standard cost, the doubled cost and their ratios to the edges."""
-    p = e.P.agg(F.count_if(F.col("a") == F.col("b")).alias("superedges_loop"), F.count_if(F.col("a") != F.col("b")).alias("superedges_nonloop"))
-    x = p.crossJoin(e.Cp.agg(F.count("*").alias("cp"))).crossJoin(e.Cm.agg(F.count("*").alias("cm")))  # three rows of counts
+    kinds = e.P.select(F.when(F.col("a") == F.col("b"), "superedges_loop").otherwise("superedges_nonloop").alias("k")).unionByName(e.Cp.select(F.lit("cp").alias("k"))).unionByName(e.Cm.select(F.lit("cm").alias("k")))
+    x = kinds.agg(*(F.count_if(F.col("k") == k).alias(k) for k in ("superedges_loop", "superedges_nonloop", "cp", "cm")))
     cost = F.col("superedges_loop") + F.col("superedges_nonloop") + F.col("cp") + F.col("cm")
     double = cost * 2 if e.objective == "mags" else cost * 2 - F.col("superedges_loop")
     x = x.withColumn("cost_standard", cost).withColumn("cost_x2", double)

@@ -50,17 +50,22 @@ def certified(pairs: DataFrame, blocks: DataFrame, sizes: DataFrame, threshold:
 
 
 def exact_gain(pairs: DataFrame, blocks: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Gain in exact partition cost if a and b merge."""
+    """Gain in exact partition cost if a and b merge.
+
+    Each pair meets the rows of both ends in one join; its rows are dealt by pair once, which serves the sum per neighbour and the sum per pair.
+    """
     e = _ends(pairs, blocks, sizes)
     s = F.col("sa") + F.col("sb")
     before = F.col("ca") + F.col("cb") - block_cost(F.col("sa"), F.col("sb"), F.col("edges"))
     inner = block_cost(s, s, F.col("ia") + F.col("ib") + F.col("edges"), True)
     head = e.select("a", "b", before.alias("before_cost"), inner.alias("inner"), s.alias("s"))
-    x = sizes.select(F.col("rep").alias("x"), F.col("size").alias("sx"))
-    cross = _merged_rows(head.select("a", "b", "s"), rows(blocks)).where("x <> a and x <> b").join(x, "x")
-    after = cross.join(head.select("a", "b", "s"), ["a", "b"]).groupBy("a", "b").agg(F.sum(block_cost(F.col("s"), F.col("sx"), F.col("ea") + F.col("eb"))).alias("after"))
-    gain = F.col("before_cost") - F.col("inner") - F.coalesce("after", F.lit(0))
-    return head.join(after, ["a", "b"], "left").select("a", "b", gain.cast("long").alias("gain"), F.col("before_cost").cast("long").alias("before_cost"))
+    row = rows(blocks).join(sizes.select(F.col("rep").alias("nbr"), F.col("size").alias("sn")), "nbr")
+    met = head.withColumn("rep", F.explode(F.array("a", "b"))).join(row, "rep", "left").repartition("a", "b")
+    outside = (F.col("nbr") != F.col("a")) & (F.col("nbr") != F.col("b"))
+    by_neighbour = met.groupBy("a", "b", "before_cost", "inner", "s", "nbr", "sn").agg(F.sum(F.when(outside, F.col("edges"))).alias("x"))
+    after = F.coalesce(F.sum(block_cost(F.col("s"), F.col("sn"), F.col("x"))), F.lit(0))
+    gain = F.first("before_cost") - F.first("inner") - after
+    return by_neighbour.groupBy("a", "b").agg(gain.cast("long").alias("gain"), F.first("before_cost").cast("long").alias("before_cost"))
 
 
 def legacy_gain(pairs: DataFrame, blocks: DataFrame, sizes: DataFrame) -> DataFrame:
