@@ -1,13 +1,13 @@
 """Hashes: the 64-bit mixer with wrap-around arithmetic (safe under ANSI mode), ranks built on it, and a portable one.
 
-Unsigned values travel as signed 64-bit numbers of the same bits; ``unsigned_order`` gives their order.
+The mixer is a chain of projections, each a short expression over the one before, so that it stays in generated code. Unsigned values travel as signed 64-bit numbers of the same bits; ``unsigned_order`` gives their order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
@@ -32,11 +32,6 @@ def splitmix64(x: int) -> int:
     return x ^ x >> 31
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once inside ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _low(x: Column) -> Column:
     return x.bitwiseAND(F.lit(0xFFFFFFFF))
 
@@ -46,43 +41,48 @@ def _high(x: Column) -> Column:
 
 
 def wrap_add(a: Column, b: Column) -> Column:
-    """a + b modulo 2**64."""
+    """a + b modulo 2**64, for short a and b: each is used twice."""
     low = _low(a) + _low(b)
     return F.shiftleft(_high(a) + _high(b) + _high(low), 32).bitwiseOR(_low(low))
 
 
-def wrap_mul(x: Column, c: int) -> Column:
-    """x * c modulo 2**64 from products of 16 and 32 bits."""
-    cl, ch = F.lit(c & 0xFFFFFFFF), F.lit(c >> 32)
+def wrap_mul(df: DataFrame, name: str, c: int) -> DataFrame:
+    """Column ``name`` times c modulo 2**64, from products of 16 and 32 bits."""
+    cl, ch, v = F.lit(c & 0xFFFFFFFF), F.lit(c >> 32), F.col(name)
+    part = lambda k: F.shiftrightunsigned(v, 16 * k).bitwiseAND(F.lit(0xFFFF))
+    df = df.withColumns({"_p0": part(0) * cl, "_p1": part(1) * cl, "_p2": part(2) * cl + part(0) * ch, "_p3": _low(part(3) * cl + part(1) * ch)})
+    df = df.withColumn("_a", wrap_add(F.col("_p0"), F.shiftleft("_p1", 16)))
+    df = df.withColumn("_b", F.shiftleft(_low(F.col("_p2")) + F.shiftleft(F.col("_p3").bitwiseAND(F.lit(0xFFFF)), 16), 32))
+    return df.withColumn(name, wrap_add(F.col("_a"), F.col("_b"))).drop("_p0", "_p1", "_p2", "_p3", "_a", "_b")
+
+
+def _fold(df: DataFrame, name: str, n: int) -> DataFrame:
+    return df.withColumn(name, F.col(name).bitwiseXOR(F.shiftrightunsigned(name, n)))
 
-    def body(v: Column) -> Column:
-        x0, x1, xh = v.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(v, 16).bitwiseAND(F.lit(0xFFFF)), _high(v)
-        low = wrap_add(x0 * cl, F.shiftleft(x1 * cl, 16))
-        cross = lambda h, k: _low((h.bitwiseAND(F.lit(0xFFFF)) * k) + F.shiftleft(_low(F.shiftrightunsigned(h, 16).bitwiseAND(F.lit(0xFFFF)) * k), 16))
-        high = cross(_low(v), ch) + cross(xh, cl)
-        return wrap_add(low, F.shiftleft(high, 32))
 
-    return let(x, body)
+def splitmix(df: DataFrame, name: str) -> DataFrame:
+    """Mix column ``name`` in place."""
+    df = _fold(df.withColumn(name, wrap_add(F.col(name), F.lit(signed(C1)))), name, 30)
+    df = _fold(wrap_mul(df, name, C2), name, 27)
+    return _fold(wrap_mul(df, name, C3), name, 31)
 
 
-def splitmix(x: Column) -> Column:
-    a = let(wrap_add(x, F.lit(signed(C1))), lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 30)))
-    b = let(wrap_mul(a, C2), lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 27)))
-    return let(wrap_mul(b, C3), lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 31)))
+def _rank(df: DataFrame, name: str, out: str, rest: int) -> DataFrame:
+    df = wrap_mul(df.withColumn(out, (F.col(name) + 1).cast("long")), out, C1)
+    return splitmix(df.withColumn(out, F.col(out).bitwiseXOR(F.lit(signed(rest)))), out)
 
 
-def hash_rank(node: Column, dim: int, iteration: int, seed: int) -> Column:
-    rest = seed ^ (C2 * (dim + 1) & MASK) ^ (C3 * (iteration + 1) & MASK)
-    return splitmix(wrap_mul(node + 1, C1).bitwiseXOR(F.lit(signed(rest))))
+def hash_rank(df: DataFrame, name: str, out: str, dim: int, iteration: int, seed: int) -> DataFrame:
+    """Add ``out``: the rank of node ``name`` in one hash dimension."""
+    return _rank(df, name, out, seed ^ (C2 * (dim + 1) & MASK) ^ (C3 * (iteration + 1) & MASK))
 
 
-def fallback_rank(rep: Column, iteration: int, seed: int) -> Column:
-    rest = seed ^ (C2 * (iteration + 1) & MASK) ^ FALLBACK
-    return splitmix(wrap_mul(rep + 1, C1).bitwiseXOR(F.lit(signed(rest))))
+def fallback_rank(df: DataFrame, name: str, out: str, iteration: int, seed: int) -> DataFrame:
+    return _rank(df, name, out, seed ^ (C2 * (iteration + 1) & MASK) ^ FALLBACK)
 
 
-def overflow_rank(node: Column, seed: int) -> Column:
-    return splitmix(node.bitwiseXOR(F.lit(signed(seed))))
+def overflow_rank(df: DataFrame, name: str, out: str, seed: int) -> DataFrame:
+    return splitmix(df.withColumn(out, F.col(name).cast("long").bitwiseXOR(F.lit(signed(seed)))), out)
 
 
 def dim_rank(dim: int, iteration: int, seed: int) -> int:

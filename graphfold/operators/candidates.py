@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphfold.checkpoint import materialise
 from graphfold.functions.cost import block_cost, log2_floor
-from graphfold.functions.hashing import signed, splitmix
+from graphfold.functions.hashing import overflow_rank
 from graphfold.operators.quotient import arc_rows, edge_count, rows
 
 
@@ -86,12 +87,12 @@ def exploration_proposals(sizes: DataFrame, seed: int) -> DataFrame:
     """One other active rep for each, by hash. The reps are numbered by ranges, so no task orders them all."""
     from graphfold.operators.encode import dense_ids
 
-    ids = dense_ids(sizes.select("rep"))
+    ids = materialise(dense_ids(sizes.select("rep")), "ids")
     n = ids.count()
     if n < 2:
         return sizes.sparkSession.createDataFrame([], "source long, target long, source_type int, score long")
-    at = F.pmod(splitmix(F.col("rep").bitwiseXOR(F.lit(signed(seed)))), F.lit(n))
-    pick = ids.select(F.col("rep").alias("source"), F.when(at == F.col("id"), (at + 1) % n).otherwise(at).alias("id"))
+    at = F.pmod("h", F.lit(n))
+    pick = materialise(overflow_rank(ids, "rep", "h", seed), "ranked").select(F.col("rep").alias("source"), F.when(at == F.col("id"), (at + 1) % n).otherwise(at).alias("id"))
     return pick.join(ids.select("id", F.col("rep").alias("target")), "id").select("source", "target", F.lit(EXPLORATION).alias("source_type"), F.lit(0).cast("long").alias("score"))
 
 

