@@ -24,7 +24,7 @@ class WordHash(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h
         return h
@@ -73,10 +73,9 @@ class MinHash:
 
 def local_classes(adjacent: np.ndarray) -> np.ndarray:
     """Least member index of every member's component."""
-    label = np.arange(len(adjacent))
-    near = adjacent | np.eye(len(adjacent), dtype=bool)
+    label = np.arange(len(adjacent), dtype=np.int32)
     while True:
-        new = np.where(near, label[None, :], len(label)).min(1)
+        new = np.minimum(np.where(adjacent, label[None, :], np.int32(len(label))).min(1), label)
         new = new[new]
         if (new == label).all():
             return label
@@ -108,7 +107,7 @@ def similar_matrix(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     if n <= 6:
-        inter = np.zeros((n, n), np.int64)
+        inter = np.zeros((n, n), np.float32)
         for i in range(n):
             for j in range(i):
                 lo, hi = sorted((len(sets[i]), len(sets[j])))
@@ -130,14 +129,14 @@ def similar_matrix(sets: list[np.ndarray], threshold: float) -> np.ndarray:
             m = np.zeros((n, min(step, total - at)), np.float32)
             m[who[lo:hi], col[lo:hi] - at] = 1
             acc += m @ m.T
-        inter = acc.round().astype(np.int64)
-    union = size[:, None] + size[None, :] - inter
-    out = (inter > 0) & (inter >= threshold * union - 1e-9)
+        inter = acc
+    # whole numbers below 2**24, which float32 holds exactly; they are compared in float64, row by row
+    out = np.stack([(x > 0) & (x >= threshold * (s + size - x) - 1e-9) for x, s in zip(map(np.float64, inter), size, strict=True)])
     np.fill_diagonal(out, False)
     return out
 
 
-def exact_classes(units: DataFrame, clusters: DataFrame, threshold: float = 0.8, size: int = 5, block: int = 600) -> DataFrame:
+def exact_classes(units: DataFrame, clusters: DataFrame, threshold: float = 0.8, size: int = 5, block: int = 300) -> DataFrame:
     """Verify inside superclusters.
 
     ``units(id, copies, text)``: distinct texts; ``clusters(id, cluster)``: superclusters of two texts or more (a text in none
@@ -148,6 +147,7 @@ def exact_classes(units: DataFrame, clusters: DataFrame, threshold: float = 0.8,
     # a supercluster of more than `block` texts is cut into blocks, and each pair of blocks is a group
     sized = clusters.join(n, "cluster").withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     other = F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
+    units = units.withColumn("text", F.col("text").cast("binary"))
     placed = units.join(sized.select("id", "cluster", "nb", "own"), "id").select("id", "copies", "text", "cluster", "nb", "own", F.explode(other).alias("o"))
     keyed = placed.select("id", "copies", "text", "nb", "own", F.xxhash64("cluster", F.least("own", "o"), F.greatest("own", "o")).alias("g"), (F.col("own") == F.col("o")).alias("diagonal"))
 
@@ -160,7 +160,7 @@ def exact_classes(units: DataFrame, clusters: DataFrame, threshold: float = 0.8,
                 if len(part) < 2:
                     continue
                 ids, copies, own = part["id"].to_numpy(), part["copies"].to_numpy(), part["own"].to_numpy()
-                sets = [shingles(t if isinstance(t, bytes) else t.encode(), known, size) for t in part["text"]]
+                sets = [shingles(t, known, size) for t in part["text"]]
                 near = similar_matrix(sets, threshold)
                 label = local_classes(near)
                 # links inside a block are counted in the block's own group only

@@ -4,7 +4,7 @@ Distinct texts become MinHash sketches, whose coordinates stand for sampled toke
 root; texts that agree on a picked coordinate share a bucket, and a large bucket is split again on coordinates drawn from its own path.
 Small buckets are brute-forced on sketches. In a large bucket every text is compared with one leader first: texts that
 resemble it are tied to it and, when clearly alike, leave the bucket, so a group of thousands of near copies costs one pass
-instead of all pairs. What is still large after the last split is brute-forced block by block. Runs repeat until the miss rate of a pair at the
+instead of all pairs. A bucket whose texts all resemble its leader can't be split and is brute-forced block by block. Runs repeat until the miss rate of a pair at the
 threshold is below ``1 - recall``. The ties make superclusters, inside which jaccard.exact_classes() verifies every pair of texts exactly.
 
 A text is known by its 64-bit hash. Defined cases: a text without words (null, empty, blank) is similar to nothing, not even to its
@@ -58,16 +58,16 @@ def _agreement(rows: pd.Series, other: pd.Series) -> np.ndarray:
     return (a == b).mean(1)
 
 
-def _to_leader(rows: DataFrame, tie: float, leave: float) -> DataFrame:
-    """Rows (path, id, sketch, leader, leader_sketch) -> (path, id, leader, tied, stays)."""
+def _to_leader(rows: DataFrame) -> DataFrame:
+    """Rows (path, id, sketch, leader, leader_sketch) -> (path, id, leader, same): the share of coordinates that agree."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 same = _agreement(pd.Series(b.column("sketch").to_pylist()), pd.Series(b.column("leader_sketch").to_pylist()))
-                yield pa.RecordBatch.from_pydict({"path": b.column("path"), "id": b.column("id"), "leader": b.column("leader"), "tied": same >= tie, "stays": same < leave})
+                yield pa.RecordBatch.from_pydict({"path": b.column("path"), "id": b.column("id"), "leader": b.column("leader"), "same": same})
 
-    return rows.mapInArrow(run, "path long, id long, leader long, tied boolean, stays boolean")
+    return rows.mapInArrow(run, "path long, id long, leader long, same double")
 
 
 def _brute_force(rows: DataFrame, tie: float) -> DataFrame:
@@ -82,7 +82,7 @@ def _brute_force(rows: DataFrame, tie: float) -> DataFrame:
                     continue
                 ids = part["id"].to_numpy()
                 s = np.frombuffer(b"".join(part["sketch"]), np.uint32).reshape(-1, COORDINATES)
-                same = np.stack([(s == x).mean(1) for x in s]) >= tie
+                same = np.stack([(s == x).sum(1) >= tie * COORDINATES for x in s])
                 label = local_classes(same)
                 far = label != np.arange(len(label))
                 out.append(np.stack([ids[far], ids[label[far]]]))
@@ -93,39 +93,43 @@ def _brute_force(rows: DataFrame, tie: float) -> DataFrame:
     return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
 
 
-def chosen_paths(sketches: DataFrame, threshold: float = 0.8, recall: float = 0.999999, fan: int = 2, small: int = 48, depth: int = 4) -> DataFrame:
-    """Ties (a, b) between texts that may be similar; every pair at the threshold is tied, directly or through others, with probability ``recall``."""
+def chosen_paths(sketches: DataFrame, threshold: float = 0.8, recall: float = 0.999999, fan: int = 2, small: int = 1024, depth: int = 4) -> DataFrame:
+    """Ties (a, b) between texts that may be similar; every pair at the threshold is tied, directly or through others, with probability ``recall``.
+
+    A bucket is brute-forced if it is small, if splitting can't take it apart because its texts resemble its leader on average, or at the
+    last level; one that is not small is then cut into blocks, and every pair of blocks is compared.
+    """
     hit = 1 - (1 - threshold) ** fan
     runs = min(COORDINATES // fan, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit**2))))  # most pairs need one split, two are allowed for
     picked = np.random.default_rng(7).permutation(COORDINATES)[: runs * fan].tolist()
     root = F.array(*(F.xxhash64(F.lit(c), _at(c)) for c in picked))
     level = sketches.select("id", F.explode(root).alias("path"))
     tie, sure = threshold - 0.3, threshold - 0.1
-    ties = []
+    ties, force = [], []
     for d in range(depth + 1):
         n = level.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
-        live = level.join(n, "path").select("path", "id", "n", "leader")
-        rows = materialise(live, "buckets")
-        with_sketch = rows.join(sketches.select("id", "sketch"), "id")
-        ties.append(materialise(_brute_force(with_sketch.where(F.col("n") <= small).select("path", "id", "sketch"), tie), "ties"))
+        rows = materialise(level.join(n, "path").select("path", "id", "n", "leader"), "buckets")
+        force.append(rows.where(F.col("n") <= small).select("path", "id"))
         large = rows.where(F.col("n") > small)
         if large.isEmpty():
             break
         led = large.join(sketches.select("id", "sketch"), "id").join(sketches.select(F.col("id").alias("leader"), F.col("sketch").alias("leader_sketch")), "leader")
-        split = materialise(_to_leader(led, tie / 2, sure), "led")
-        ties.append(split.where("tied and id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")))
-        left = split.where("stays").select("path", "id")
-        if d < depth:
-            coordinate = lambda j: F.pmod(F.xxhash64("path", F.lit(j)), F.lit(COORDINATES)).cast("int")
-            down = F.array(*(F.xxhash64("path", F.lit(j), _at(coordinate(j))) for j in range(fan)))
-            level = left.join(sketches.select("id", "sketch"), "id").select("id", F.explode(down).alias("path"))
-        else:  # the exact way for the rest: pairs of blocks
-            count = left.groupBy("path").agg(F.ceil(F.count("*") / small).cast("int").alias("nb"))
-            cut = left.join(count, "path").withColumn("own", F.pmod(F.xxhash64("id"), "nb").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-            keyed = cut.select(F.xxhash64("path", F.least("own", "o"), F.greatest("own", "o")).alias("path"), "id")
-            ties.append(_brute_force(keyed.join(sketches.select("id", "sketch"), "id").select("path", "id", "sketch"), tie))
-    out = ties[0]
-    for t in ties[1:]:
+        split = materialise(_to_leader(led), "led")
+        ties.append(split.where((F.col("same") >= tie / 2) & (F.col("id") != F.col("leader"))).select(F.col("id").alias("a"), F.col("leader").alias("b")))
+        left = split.where(F.col("same") < sure).select("path", "id", "same")
+        count = materialise(left.groupBy("path").agg(F.count("*").alias("n"), F.avg("same").alias("mean")), "left")
+        left = left.select("path", "id").join(count, "path")
+        alike = (F.col("n") <= small) | (F.col("mean") >= threshold - 0.4) | F.lit(d == depth)
+        blocks = left.where(alike).withColumn("nb", F.ceil(F.col("n") / small).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), "nb").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        force.append(blocks.select(F.xxhash64("path", F.lit("blocks"), F.least("own", "o"), F.greatest("own", "o")).alias("path"), "id"))
+        coordinate = lambda j: F.pmod(F.xxhash64("path", F.lit(j)), F.lit(COORDINATES)).cast("int")
+        down = F.array(*(F.xxhash64("path", F.lit(j), _at(coordinate(j))) for j in range(fan)))
+        level = left.where(~alike).select("path", "id").join(sketches.select("id", "sketch"), "id").select("id", F.explode(down).alias("path"))
+    every = force[0]
+    for f in force[1:]:
+        every = every.unionByName(f)
+    out = _brute_force(every.join(sketches.select("id", "sketch"), "id").select("path", "id", "sketch"), tie)
+    for t in ties:
         out = out.unionByName(t)
     return out
 
