@@ -3,7 +3,7 @@
 Spans come from splitting a text at a pattern: the pieces between matches and the matches themselves give every
 match's place. Candidates are then judged by how many distinct repositories and owners hold the same value: a value that many owners share
 is a copied example, one that few owners hold looks live. Base spans stay whatever the verdict; spans of the further
-kinds stay only if they look live, so placeholder keys in copied tutorials raise nothing.
+kinds stay only if they look live, so placeholder keys in copied tutorials raise nothing. Redaction replaces exactly the spans that stay.
 
 Counts of owners and repositories are two-level aggregates on (value, owner) pairs, combined before the shuffle, so a value in
 a third of all rows is one row per task. Defined cases: null text is empty; null owner or repository counts as
@@ -74,15 +74,25 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
+def _each(rows: DataFrame) -> DataFrame:
+    """One row per span of rows (uid, owner, repository, spans)."""
+    return rows.where(F.size("spans") > 0).select("uid", "owner", "repository", F.explode("spans").alias("s")).select("*", F.col("s.value").alias("value"))
+
+
+def _kept(each: DataFrame, owned: DataFrame, example_owners: int) -> DataFrame:
+    """uid -> its judged spans: all base spans and the further spans that look live."""
+    judged = each.join(owned, "value").select("uid", F.struct("s.start", "s.kind", "s.end", "s.name", "n_owners", "n_repositories", (F.col("n_owners") < example_owners).alias("live")).alias("s"))
+    kept = judged.where((F.col("s.kind") < len(BASE)) | F.col("s.live"))
+    return kept.groupBy("uid").agg(F.sort_array(F.collect_list("s")).alias("spans"))
+
+
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", example_owners: int = 3) -> DataFrame:
     """Per row: uid, doc_id and ``spans``, each with n_owners, n_repositories and live. ``uid`` numbers the rows of this scan only."""
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), candidates(text).alias("spans"))
     rows = materialise(narrow.withColumn("uid", F.monotonically_increasing_id()), "secrets")
-    each = rows.where(F.size("spans") > 0).select("uid", "owner", "repository", F.explode("spans").alias("s")).select("*", F.col("s.value").alias("value"))
-    judged = each.join(ownership(each), "value").select("uid", F.struct("s.start", "s.kind", "s.end", "s.name", "n_owners", "n_repositories", (F.col("n_owners") < example_owners).alias("live")).alias("s"))
-    kept = judged.where((F.col("s.kind") < len(BASE)) | F.col("s.live"))
-    by_row = kept.groupBy("uid").agg(F.sort_array(F.collect_list("s")).alias("spans"))
+    each = _each(rows)
+    by_row = _kept(each, ownership(each), example_owners)
     return rows.select("uid", "doc_id").join(by_row, "uid", "left").withColumn("spans", F.coalesce("spans", F.array().cast(by_row.schema["spans"].dataType)))
 
 
@@ -103,12 +113,20 @@ def report(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """The documents with every base span, and every further span, replaced; n_chars follows. One pass, no shuffle."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    kinds = [*BASE.items(), *MORE.items()]
-    spans = F.array_sort(F.concat(*(find(text, k, name, *rule) for k, (name, rule) in enumerate(kinds))))
+def redact(docs: DataFrame, mark: str = "[secret]", owner: str = "source", repository: str = "doc_id", example_owners: int = 3) -> DataFrame:
+    """The documents with the spans that scan() keeps replaced: every base span, and every further span that looks live; n_chars follows.
+
+    Only rows with a further span meet its verdict in a join; all others are rewritten from their own base spans, without a shuffle of texts.
+    """
+    found = docs.select(F.struct(*docs.columns).alias("doc"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), candidates(F.coalesce(F.col("text"), F.lit(""))).alias("spans"))
+    rows = materialise(found.withColumn("uid", F.monotonically_increasing_id()), "redact")
+    further = F.exists("spans", lambda s: s["kind"] >= len(BASE))
+    place = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans")
+    by_row = _kept(_each(rows.where(further)), ownership(_each(rows)), example_owners).select("uid", place(F.col("spans")))
+    judged = rows.where(further).select("uid", "doc").join(by_row, "uid", "left").select("doc", F.coalesce("spans", F.array().cast(by_row.schema["spans"].dataType)).alias("spans"))
+    own = rows.where(~further).select("doc", place(F.col("spans")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text, spans = F.col("doc.text"), F.col("spans")
 
     def step(acc: Column, s: Column) -> Column:
         new = s["start"] >= acc["at"]
@@ -118,8 +136,9 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         )
 
     clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    new = F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))
-    return docs.withColumn("_new", new).withColumn("n_chars", F.when(F.size(spans) > 0, F.length("_new").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("_new")).drop("_new")
+    new = own.unionByName(judged).select("doc", F.when(F.size(spans) > 0, clean).otherwise(text).alias("new"), (F.size(spans) > 0).alias("changed"))
+    put = {"text": F.col("new"), "n_chars": F.when(F.col("changed"), F.length("new").cast("long")).otherwise(F.col("doc.n_chars"))}
+    return new.select(*(put.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,3 +179,19 @@ def test_redaction(docs):
     got = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
     assert got[4].text == "[secret] Password:'xy' [secret]\" é[secret] secret=token:abcdefgh"
     assert got[4].n_chars == len(got[4].text) and got[2].text is None and got[3].text == EDGE[4][1]
+
+
+def test_redaction_replaces_what_the_scan_keeps(spark):
+    shared, live = f"eyJhbGciOiJI.eyJzdWIiOiIx.Sfl{'k' * 8}", f"eyJhbGciOiJI.eyJzdWIiOiIx.own{'z' * 8}"
+    data = [(i, f"see {shared} here", "en", f"s{i}", 5) for i in range(3)] + [(3, f"{shared} token = abcdef12 {live} end", "en", "s0", 5), (4, "token = abcdef12", "en", "s1", 5), (None, None, None, None, None)]
+    data += [data[3], (5, f"{live} twice", "en", "s1", 5)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = Counter((r.doc_id, r.text, r.n_chars) for r in secret_scan.redact(df).collect())
+    kept = {r.doc_id: r.spans for r in secret_scan.scan(df).collect()}
+    want = Counter()
+    for d, t, _, _, n in data:
+        for s in reversed(kept[d]):
+            t = t[: s.start] + "[secret]" + t[s.end :]
+        want[d, t, len(t) if kept[d] else n] += 1
+    assert got == want
+    assert got[0, f"see {shared} here", 5] == 1 and got[3, f"{shared} [secret] [secret] end", len(shared) + 22] == 2
