@@ -9,7 +9,8 @@ within the radius. Candidates are verified by exact weighted Jaccard similarity
 Windows that hold no shingle of any item have similarity 0 with all of them and are not formed. This is lossless: what is left are the stretches around shared shingles.
 
 The index of the items is sent to all tasks while the benchmark has at most ``max_items`` items; beyond, the
-items are dealt into parts of that size and the documents are read once for each part. Defined cases: null text matches nothing; an item of fewer than five words is one shingle of all its
+items are dealt into parts of that size and the documents are read once for each part. Item frequencies and the number of items are those of the
+whole benchmark in every part, so the parts change no weight, fingerprint or result. Defined cases: null text matches nothing; an item of fewer than five words is one shingle of all its
 words; an item without words is ignored; equal items are reported each; repeated rows are reported each; empty tables give an empty result.
 """
 
@@ -51,20 +52,25 @@ def signs(hashes: np.ndarray) -> np.ndarray:
     return bits.astype(np.int8) * 2 - 1
 
 
+def shared_weights(counts, n: int) -> tuple[dict[int, float], float]:
+    """Weights of the shingles of several items by (shingle, items), and of all others: a shingle of no item weighs like one of a single item."""
+    return {h: 1 + float(np.log(n / c)) for h, c in counts if c > 1}, 1 + float(np.log(max(n, 1)))
+
+
 class ItemIndex:
     """Fingerprints of the items and the block tables; bounded by the number of items."""
 
-    def __init__(self, items: list[tuple[int, bytes]], size: int = 5, radius: int = 19, blocks: int = 4):
+    def __init__(self, items: list[tuple[int, bytes]], size: int = 5, radius: int = 19, blocks: int = 4, weights: tuple[dict[int, float], float] | None = None):
+        """``weights``: weights of the shingles that several items share, and of all others; counted from ``items`` if not given."""
         self.size, self.radius, self.blocks, self.bits = size, radius, blocks, 64 // blocks
         known = NormalHash()
         sets = [(i, len(w), shingle_hashes(w, known, size)) for i, w in ((i, t.split()) for i, t in items) if w]
         df = Counter(h for _, _, s in sets for h in set(s.tolist()))
         self.ids = np.array([i for i, _, _ in sets], np.int64)
         self.length = np.array([n for _, n, _ in sets], np.int64)
-        self.weight = {h: 1 + float(np.log(max(len(sets), 1) / c)) for h, c in df.items()}
-        self.default = 1 + float(np.log(max(len(sets), 1)))  # a shingle of no item weighs like one of a single item
+        self.weight, self.default = weights or shared_weights(df.items(), len(sets))
         self.bags = [Counter(s.tolist()) for _, _, s in sets]
-        self.total = [sum(self.weight[h] * c for h, c in b.items()) for b in self.bags]
+        self.total = [sum(self.weight.get(h, self.default) * c for h, c in b.items()) for b in self.bags]
         self.known = np.array(sorted(df), np.uint64)
         self.of = {h: [] for h in df}
         for k, b in enumerate(self.bags):
@@ -101,7 +107,7 @@ class ItemIndex:
     def similarity(self, k: int, s: np.ndarray) -> float:
         bag = self.bags[k]
         window = Counter(s.tolist())
-        shared = sum(self.weight[h] * min(c, bag[h]) for h, c in window.items() if h in bag)
+        shared = sum(self.weight.get(h, self.default) * min(c, bag[h]) for h, c in window.items() if h in bag)
         whole = self.total[k] + sum(self.weight.get(h, self.default) * c for h, c in window.items()) - shared
         return shared / whole if whole else 0.0
 
@@ -163,20 +169,46 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, max_item
     return out
 
 
+def item_frequencies(items: DataFrame, size: int = 5) -> tuple[list[tuple[int, int]], int]:
+    """(shingle, items that hold it) for the shingles of several items, and the number of items with words."""
+
+    def run(batches):
+        known = NormalHash()
+        for b in batches:
+            sets = [np.unique(shingle_hashes(w, known, size)) for w in (t.split() for t in b.column("text").cast(pa.binary()).to_pylist()) if w]
+            if sets:
+                yield pa.RecordBatch.from_pydict({"h": pa.array([None] * len(sets) + np.concatenate(sets).view(np.int64).tolist(), pa.int64())})
+
+    rows = items.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where("h is null or c > 1").collect()
+    return [(r.h % (1 << 64), r.c) for r in rows if r.h is not None], sum(r.c for r in rows if r.h is None)
+
+
 def _indexes(spark: SparkSession, benchmark: DataFrame, max_items: int) -> list:
-    """The items' index, sent to all tasks, in parts of about ``max_items`` items."""
+    """The items' index, sent to all tasks, in parts of about ``max_items`` items, each with the weights of the whole benchmark (sent once)."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     parts = max(1, -(-items.count() // max_items))
+    weights = shared_weights(*item_frequencies(items)) if parts > 1 else None
+    sent = spark.sparkContext.broadcast(weights)  # bounded by the shingles that several items share
     out = []
     for p in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) if parts > 1 else items
-        out.append(spark.sparkContext.broadcast(ItemIndex([(r.item_id, r.text.encode()) for r in mine.orderBy("item_id", "text").collect()])))
+        index = ItemIndex([(r.item_id, r.text.encode()) for r in mine.orderBy("item_id", "text").collect()], weights=weights)
+        if weights:
+            index.weight = None
+        out.append((spark.sparkContext.broadcast(index), sent))
     return out
 
 
+def _received(index) -> ItemIndex:
+    own, weights = index[0].value, index[1].value
+    if weights:
+        own.weight = weights[0]
+    return own
+
+
 def _finder(index, threshold: float):
     def run(batches):
-        own, known = index.value, NormalHash()
+        own, known = _received(index), NormalHash()
         for b in batches:
             rows = []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -193,7 +225,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, max_ite
 
     def without(index):
         def run(batches):
-            own, known = index.value, NormalHash()
+            own, known = _received(index), NormalHash()
             for b in batches:
                 keep = [not own.matches((t or b"").split(), known, threshold) for t in b.column("text").cast(pa.binary()).to_pylist()]
                 yield b.filter(pa.array(keep, pa.bool_()))

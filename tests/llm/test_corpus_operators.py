@@ -251,6 +251,24 @@ def test_decontamination_equals_all_windows(spark, empty):
     assert decontamination.find(empty, b).count() == 0 and decontamination.find(d, b.limit(0)).count() == 0
 
 
+def test_parts_of_the_benchmark_change_no_row(spark):
+    rng = random.Random(12)
+    shared = sentence(rng, 14)
+    items = [(i, f"{sentence(rng, 10)} {shared if i % 2 else sentence(rng, 14)}") for i in range(24)] + [(24, "tiny item"), (25, " "), (26, None)]
+    docs = []
+    for i in range(120):
+        w = items[rng.randrange(24)][1].split()
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(2)] = "changed"
+        docs.append((i, f"{sentence(rng, 20)} {' '.join(w)} {sentence(rng, 20)} tiny item"))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(tuple(r) for r in decontamination.find(d, b).collect())
+    assert {(x, k) for x, k, *_ in whole} == brute_matches(docs, [(i, t.encode()) for i, t in items if t]) | {(x, 24) for x, _ in docs}
+    for n in (1, 5, 13):
+        assert sorted(tuple(r) for r in decontamination.find(d, b, max_items=n).collect()) == whole
+    assert sorted(r.doc_id for r in decontamination.clean(d, b.where("item_id < 24"), max_items=5).collect()) == sorted({x for x, _ in docs} - {x for x, k, *_ in whole if k < 24})
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     rng = random.Random(0)
     index = decontamination.ItemIndex([(i, sentence(rng, 20).encode()) for i in range(50)])
