@@ -191,6 +191,14 @@ def test_substring_dedup_removes_all_but_the_first(spark, empty):
     assert sorted(r.n_removed for r in substring_dedup.removals(same).collect()) == [0, len(p.encode())]
 
 
+def test_short_units_that_differ_by_a_word_at_an_end(spark):
+    rng = random.Random(21)
+    a, b, c = sentence(rng, 8), sentence(rng, 12), sentence(rng, 10)
+    rows = [(1, a), (2, f"{a} more"), (3, f"{b}\nshort line"), (4, f"x\nmore {b}"), (5, f"more {c}"), (6, c), (7, " ".join([*sentence(rng, 7).split(), "alone"]))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d for d, n in got.items() if n} == {2, 4, 6}
+
+
 def test_bands_have_the_recall_of_their_formula():
     rng = random.Random(6)
     hit = n = 0
