@@ -164,7 +164,8 @@ def fit(docs: DataFrame, vocabulary: list[str], docs_per_lang: int = 300, rounds
     share = F.create_map(*(F.lit(x) for k, n in langs.items() for x in (k, min(1.0, docs_per_lang / n))))
     u = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     words = known.where(u <= share[F.col("lang")]).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("w"))
-    got = words.where(F.length("w") <= 48).groupBy("lang", "w").count().toPandas()  # bounded by the number of texts learned from
+    words = words.select("lang", F.explode(F.regexp_extract_all("w", F.lit("(?s).{1,48}"), F.lit(0))).alias("w"))  # the stretches that log_prob() scores
+    got = words.groupBy("lang", "w").count().toPandas()  # bounded by the number of texts learned from
     text = {k: (g["w"].tolist(), g["count"].to_numpy(float)) for k, g in got.sort_values(["lang", "w"]).groupby("lang")}
     names = [k for k in langs if k in text]
     if not names:

@@ -323,6 +323,18 @@ def test_language_id(spark, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_language_without_spaces_is_learned(spark):
+    rng = random.Random(5)
+    langs = {"xx": "lo mi ta ne sar kul".split(), "zz": "zu wrr chee ist onk".split()}
+    texts = {k: ["".join(rng.choice(langs[k]) + " " * (k == "xx") for _ in range(90)) for _ in range(40)] for k in langs}
+    df = spark.createDataFrame([(i, t, k, "s", 1) for i, (k, t) in enumerate((k, t) for k in langs for t in texts[k])], SCHEMA)
+    from public_tokenizers import path
+
+    model = language_id.fit(df, language_id.vocabulary_pieces(path("piece_bpe_32k.model")))
+    assert model.langs == ["xx", "zz"]
+    assert all(r.lang_pred == ("xx" if r.doc_id < 40 else "zz") for r in language_id.identify(df, model).collect())
+
+
 def held():
     return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10) == 0
 
