@@ -5,16 +5,17 @@ Triggers are local minima of a rolling hash over 64 bytes: among the 137 such st
 place depends on content alone. A phrase is the stretch of all windows of one trigger; phrases overlap as prefix-free
 parsing demands. The parse of a text is its phrases in order, the dictionary the distinct phrases, known by a 128-bit hash.
 
-A phrase that occurs twice is repeated as a whole. What remains are phrases that share a trigger string but differ around it. For these
-the order of the dictionary (phrases to the left of the trigger, read backwards) and the order of the parse (what follows the trigger) are
-two suffix arrays over the same phrases, each with its common-prefix lengths. A window that reaches t bytes to the left and 136 - t to the right of
-the trigger is repeated if and only if another phrase is in its class at depth t of the one and at depth 136 - t of the other, so
-combining both orders for every t gives the classes of the corpus order at depth 200, exactly. A trigger string with more than ``hot`` different
-phrases is not gathered: its windows are hashed (128 bits) and counted, with partial sums.
-
-Texts are deduplicated first (a copied text is removed as a whole), into a table that is bucketed by text, so that later joins move
-no text. Defined cases: null text is empty; texts shorter than 200 bytes lose nothing; repeated rows are copies; an
-empty table gives an empty result; doc_id may be null.
+A phrase that occurs twice is repeated as a whole. What remains are phrases that share a trigger string but differ around it. These are put
+into two suffix orders: that of the dictionary (trigger string, then the bytes before it, read backwards) and that of the parse (trigger string,
+then the bytes after it). Both are sorted by range over the whole corpus, so a trigger string or a context of any frequency is spread over tasks, and each row's
+common prefix with its neighbours in the order says how far any other phrase agrees with it: l bytes to the left, r to the right. A window that reaches t bytes
+to the left and 136 - t to the right of the trigger can be repeated only if t <= l and 136 - t <= r, so combining both orders leaves one interval of
+windows per phrase, empty for most. The windows of these intervals are compared exactly by a 128-bit name, with partial counts. All steps yield rows in
+proportion to the phrases' lengths, whatever the size of a group.
+
+Texts are deduplicated first by a 128-bit key (a copied text is removed as a whole), into a table that is bucketed by text, so that later joins move
+no text. Defined cases: null text is empty; texts shorter than 200 bytes lose nothing; repeated rows are copies; texts of any length are parsed in
+stretches that overlap by a window; an empty table gives an empty result; doc_id may be null; only doc_id and text are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import materialise, scratch_dir, table
-from graphfold.llm.jaccard import groups, mix
+from graphfold.llm.common import discard, materialise, scratch_dir, table
+from graphfold.llm.jaccard import mix
 
-PHRASE = "core long, f1 long, f2 long, k long, pos long, starts int, left int"
+PHRASE = "core long, f1 long, f2 long, k binary, pos long, starts int, left int"
 
 
 class Trigger:
@@ -72,23 +74,26 @@ class Trigger:
             yield from zip((first + base).tolist(), count.tolist(), (at[first] + base).tolist(), strict=True)
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(k, text, copies), a table bucketed by k in the shared folder."""
+def text_key(text: Column) -> Column:
+    """128 bits of a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(k, text, copies), a table bucketed by k in the shared folder, and its name in the catalog."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    one = docs.select(F.xxhash64(text).alias("k"), text.alias("text")).groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.min(F.md5("text")).alias("m"), F.max(F.md5("text")).alias("n"))
-    checked = one.select("k", F.when(F.col("m") == F.col("n"), F.col("text")).otherwise(F.raise_error(F.lit("two texts share a 64-bit key"))).alias("text"), "copies")
+    one = docs.select(text_key(F.col("text")).alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text")).groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     name = f"graphfold_texts_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    checked.write.bucketBy(n, "k").option("path", f"{scratch_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    one.write.bucketBy(n, "k").option("path", f"{scratch_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name), name
 
 
-def parse(texts: DataFrame, length: int = 200, gram: int = 64) -> DataFrame:
+def parse(texts: DataFrame, length: int = 200, gram: int = 64, stretch: int = 1 << 18) -> DataFrame:
     """All phrases: trigger string, 128-bit name, and where they stand."""
 
     def run(batches):
-        trigger = Trigger(length, gram)
+        trigger = Trigger(length, gram, stretch)
         for b in batches:
             core, name, k, pos, starts, left = [], [], [], [], [], []
             for key, t in zip(b.column("k").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -98,90 +103,113 @@ def parse(texts: DataFrame, length: int = 200, gram: int = 64) -> DataFrame:
                     core.append(xxhash.xxh3_64_intdigest(t[a : a + gram]))
                     name.append(xxhash.xxh3_128_digest(t[s : s + n - 1 + length]))
                     k.append(key), pos.append(s), starts.append(n), left.append(a - s)
-            f = np.frombuffer(b"".join(name), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_pydict({"core": np.array(core, np.uint64).view(np.int64), "f1": f[:, 0].copy(), "f2": f[:, 1].copy(), "k": np.array(k, np.int64), "pos": np.array(pos, np.int64), "starts": np.array(starts, np.int32), "left": np.array(left, np.int32)})
+                if len(core) > 50_000:
+                    yield _phrases(core, name, k, pos, starts, left)
+                    core, name, k, pos, starts, left = [], [], [], [], [], []
+            yield _phrases(core, name, k, pos, starts, left)
 
     return texts.select("k", "text").mapInArrow(run, PHRASE)
 
 
-def combine(core: np.ndarray, left: list[bytes], right: list[bytes], reach: int) -> np.ndarray:
-    """shared[i, t]: another phrase of the same trigger string equals phrase i from t bytes before it to reach - t bytes after it.
+def _phrases(core: list, name: list, k: list, pos: list, starts: list, left: list) -> pa.RecordBatch:
+    f = np.frombuffer(b"".join(name), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_pydict({"core": np.array(core, np.uint64).view(np.int64), "f1": f[:, 0].copy(), "f2": f[:, 1].copy(), "k": pa.array(k, pa.binary()), "pos": np.array(pos, np.int64), "starts": np.array(starts, np.int32), "left": np.array(left, np.int32)})
+
+
+def common_prefix(core: list[int], context: list[bytes], reach: int) -> np.ndarray:
+    """Bytes that each row has in common with the next one; -1 if their trigger strings differ."""
+    rows = np.frombuffer(b"".join(c.ljust(reach, b"\0") for c in context), np.uint8).reshape(len(core), max(reach, 1))
+    size, own = np.array([len(c) for c in context], np.int64), np.array(core, np.int64)
+    differ = rows[1:] != rows[:-1]
+    same = np.where(differ.any(1), differ.argmax(1), reach)
+    return np.where(own[1:] == own[:-1], np.minimum(same, np.minimum(size[1:], size[:-1])), -1)
+
+
+def agreement(contexts: DataFrame, reach: int) -> DataFrame:
+    """(id, far): the longest prefix that another row of the same trigger string shares, or -1, for rows (id, core, context).
 
-    ``left`` are the bytes before the trigger, read backwards; ``right`` the bytes after it.
+    The rows are sorted by range, ties by id, so equal contexts may fill many tasks. A row's best partner stands next to it; neighbours in two tasks are
+    compared on the driver, which gets the first and the last row of every task and nothing else.
     """
-    m = len(core)
-
-    def ordered(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        size = np.array([len(p) for p in parts], np.int64)
-        raw = b"".join(p.ljust(reach, b"\0") for p in parts)
-        order = np.lexsort((size, np.frombuffer(raw, f"S{reach}"), core))
-        rows = np.frombuffer(raw, np.uint8).reshape(m, reach)[order]
-        differ = rows[1:] != rows[:-1]
-        lcp = np.where(differ.any(1), differ.argmax(1), reach)
-        lcp = np.minimum(lcp, np.minimum(size[order][1:], size[order][:-1]))
-        lcp[core[order][1:] != core[order][:-1]] = -1
-        return order, np.concatenate([[-1], lcp]), size
-
-    (lo, ll, ls), (ro, rl, rs) = ordered(left), ordered(right)
-    out = np.zeros((m, reach + 1), bool)
-    a, b = np.empty(m, np.int64), np.empty(m, np.int64)
-    for t in range(reach + 1):
-        rows = np.flatnonzero((ls >= t) & (rs >= reach - t))
-        if len(rows) < 2:
-            continue
-        a[lo] = np.cumsum(ll < t)
-        b[ro] = np.cumsum(rl < reach - t)
-        key = a[rows] * (m + 1) + b[rows]
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        out[rows[order[1:][same]], t] = True
-        out[rows[order[:-1][same]], t] = True
-    return out
 
+    def run(batches):
+        part, held, first = TaskContext.get().partitionId(), None, True
+
+        def rows(ids, far, edges, places):
+            return pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "far": pa.array(far, pa.int32()), "part": pa.array([part] * len(ids), pa.int32()), "place": pa.array(places, pa.int32()), "core": pa.array([e and e[0] for e in edges], pa.int64()), "context": pa.array([e and e[1] for e in edges], pa.binary())})
 
-def covered(texts: DataFrame, length: int = 200, gram: int = 64, hot: int = 2000) -> DataFrame:
-    """(k, start, end): stretches of bytes that repeated windows cover, apart from copies of whole texts."""
+        for b in batches:
+            ids, core, context = (b.column(c).to_pylist() for c in ("id", "core", "context"))
+            if not ids:
+                continue
+            before = -1
+            if held:
+                ids, core, context, before = [held[0], *ids], [held[1], *core], [held[2], *context], held[3]
+            near = common_prefix(core, context, reach)
+            both = np.concatenate([[before], near])
+            if len(ids) > 1:
+                far, edges, places = np.maximum(both[:-1], near), [None] * (len(ids) - 1), [None] * (len(ids) - 1)
+                if first:
+                    edges[0], places[0], first = (core[0], context[0]), 0, False
+                yield rows(ids[:-1], far, edges, places)
+            held = ids[-1], core[-1], context[-1], int(both[-1])
+        if held:
+            yield rows([held[0]], [held[3]], [(held[1], held[2])], [0 if first else 1])
+
+    ordered = contexts.repartitionByRange("core", "context", "id").sortWithinPartitions("core", "context", "id")
+    got = materialise(ordered.mapInArrow(run, "id long, far int, part int, place int, core long, context binary"), "order")
+    ends = sorted(got.where("place is not null").collect(), key=lambda r: (r.part, r.place))  # two rows a task at most
+    fixes = []
+    for x, y in zip(ends, ends[1:], strict=False):
+        if x.part != y.part and x.core == y.core:
+            n = int(common_prefix([x.core, y.core], [bytes(x.context), bytes(y.context)], reach)[0])
+            fixes += [(x.id, n), (y.id, n)]
+    plain = got.select("id", "far")
+    return plain.unionByName(got.sparkSession.createDataFrame(fixes, "id long, far int")) if fixes else plain
+
+
+def covered(texts: DataFrame, length: int = 200, gram: int = 64, stretch: int = 1 << 18) -> tuple[DataFrame, list[DataFrame]]:
+    """(k, start, end): stretches of bytes that repeated windows cover, apart from copies of whole texts; and the tables that hold the steps."""
     reach = length - gram
-    often = parse(texts, length, gram).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    seen = materialise(parse(texts, length, gram).join(often, "core", "left_semi"), "phrases")
+    # counts are written before they meet the phrases, so that the join can split a frequent trigger string
+    often = materialise(parse(texts, length, gram, stretch).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "often")
+    seen = materialise(parse(texts, length, gram, stretch).join(often, "core", "left_semi"), "phrases")
     names = materialise(seen.groupBy("core", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos", "starts", "left")).alias("at")), "dictionary")
-    twice = names.where("n > 1").select("core", "f1", "f2")
-    whole = seen.join(twice, ["core", "f1", "f2"], "left_semi").select("k", F.col("pos").alias("start"), (F.col("pos") + F.col("starts") + length - 1).alias("end"))
-    kinds = names.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = names.join(kinds, "core").select("core", "n", "kinds", "at.*")
-    lists = mixed.groupBy("k").agg(F.collect_list(F.struct("core", "n", "kinds", "pos", "starts", "left")).alias("p"))
+    twice = materialise(names.where("n > 1").select("core", "f1", "f2"), "twice")
+    whole = seen.join(twice, ["f1", "f2", "core"], "left_semi").select("k", F.col("pos").alias("start"), (F.col("pos") + F.col("starts") + length - 1).alias("end"))
+    kinds = materialise(names.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"), "kinds")
+    lists = names.join(kinds, "core", "left_semi").select("core", "n", "at.*").groupBy("k").agg(F.collect_list(F.struct("core", "n", "pos", "starts", "left")).alias("p"))
 
     def cut(batches):
         for b in batches:
             rows = []
             for k, t, ps in zip(b.column("k").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("p").to_pylist(), strict=True):
-                rows.extend((p["core"], p["n"], p["kinds"], k, p["pos"], p["left"], t[p["pos"] : p["pos"] + p["starts"] - 1 + length]) for p in ps)
+                for p in ps:
+                    a, end = p["pos"] + p["left"], p["pos"] + p["starts"] - 1 + length
+                    rows.append((p["core"], p["n"] == 1, k, a, t[p["pos"] : a][::-1], t[a : a + gram], t[a + gram : end]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["core", "n", "kinds", "k", "pos", "left", "phrase"])
-
-    phrases = materialise(texts.select("k", "text").join(lists, "k").select("k", "text", "p").mapInArrow(cut, "core long, n long, kinds long, k long, pos long, left int, phrase binary"), "mixed")
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["core", "once", "k", "at", "back", "trigger", "ahead"])
 
-    def orders(batches):
-        for f, _ in groups(batches, ["core"]):
-            left, phrase, pos, k = f["left"].to_numpy(), f["phrase"].tolist(), f["pos"].to_numpy(), f["k"].to_numpy()
-            shared = combine(f["core"].to_numpy(), [p[:a][::-1] for p, a in zip(phrase, left, strict=True)], [p[a + gram :] for p, a in zip(phrase, left, strict=True)], reach)
-            shared[f["n"].to_numpy() > 1] = False  # covered as a whole already
-            step = np.diff(np.pad(shared, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            (row, a), (_, b) = np.nonzero(step == 1), np.nonzero(step == -1)  # t from a to b - 1
-            if len(row):
-                yield pa.RecordBatch.from_pydict({"k": k[row], "start": pos[row] + left[row] - (b - 1), "end": pos[row] + left[row] - a + length})
+    mixed = texts.select("k", "text").join(lists, "k").select("k", "text", "p").mapInArrow(cut, "core long, once boolean, k binary, at long, back binary, trigger binary, ahead binary")
+    mixed = materialise(mixed.withColumn("id", F.monotonically_increasing_id()), "mixed")
+    left = agreement(mixed.select("id", "core", F.col("back").alias("context")), reach)
+    right = agreement(mixed.select("id", "core", F.col("ahead").alias("context")), reach)
+    none = F.lit(-1)
+    both = left.select("id", F.col("far").alias("l"), none.alias("r")).unionByName(right.select("id", none.alias("l"), F.col("far").alias("r")))
+    interval = both.groupBy("id").agg(F.max("l").alias("l"), F.max("r").alias("r")).where(F.col("l") + F.col("r") >= reach).where("l >= 0 and r >= 0")
 
     def windows(batches):
         for b in batches:
-            for n, k, p, t in zip(*(b.column(c).to_pylist() for c in ("n", "k", "pos", "phrase")), strict=True):
-                d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t[i : i + length]) for i in range(len(t) - length + 1)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_pydict({"w1": d[:, 0].copy(), "w2": d[:, 1].copy(), "k": np.full(len(d), k), "start": np.arange(p, p + len(d)), "n": np.full(len(d), n)})
+            for once, k, at, back, trigger, ahead, l, r in zip(*(b.column(c).to_pylist() for c in ("once", "k", "at", "back", "trigger", "ahead", "l", "r")), strict=True):
+                t, p = back[::-1] + trigger + ahead, at - len(back)
+                first, last = len(back) - l, len(back) - (reach - r)
+                d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t[i : i + length]) for i in range(first, last + 1)), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_pydict({"w1": d[:, 0].copy(), "w2": d[:, 1].copy(), "k": pa.array([k] * len(d), pa.binary()), "start": np.arange(p + first, p + last + 1), "once": np.full(len(d), once)})
 
-    cold = phrases.where(F.col("kinds") <= hot).repartition("core").sortWithinPartitions("core").mapInArrow(orders, "k long, start long, end long")
-    every = phrases.where(F.col("kinds") > hot).select("n", "k", "pos", "phrase").mapInArrow(windows, "w1 long, w2 long, k long, start long, n long")
-    again = every.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-    warm = every.where("n = 1").join(again, ["w1", "w2"], "left_semi").select("k", "start", (F.col("start") + length).alias("end"))
-    return whole.unionByName(cold).unionByName(warm)
+    every = materialise(mixed.join(interval, "id").select("once", "k", "at", "back", "trigger", "ahead", "l", "r").mapInArrow(windows, "w1 long, w2 long, k binary, start long, once boolean"), "windows")
+    again = materialise(every.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2"), "again")
+    warm = every.where("once").join(again, ["w1", "w2"], "left_semi").select("k", "start", (F.col("start") + length).alias("end"))
+    return whole.unionByName(warm), [often, seen, names, twice, kinds, mixed, left, right, every, again]
 
 
 def _spans(pairs: list, copies: int, n: int, length: int) -> list[tuple[int, int]]:
@@ -196,11 +224,12 @@ def _spans(pairs: list, copies: int, n: int, length: int) -> list[tuple[int, int
     return out
 
 
-def removals(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 2000) -> DataFrame:
+def removals(docs: DataFrame, length: int = 200, gram: int = 64, stretch: int = 1 << 18) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed bytes, end exclusive)."""
-    texts = distinct_texts(docs)
-    lists = covered(texts, length, gram, hot).groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("p"))
-    rows = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+    texts, name = distinct_texts(docs)
+    found, steps = covered(texts, length, gram, stretch)
+    lists = found.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("p"))
+    rows = "k binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
     def run(batches):
         for b in batches:
@@ -214,11 +243,13 @@ def removals(docs: DataFrame, length: int = 200, gram: int = 64, hot: int = 2000
                 kept.update(t[at:])
                 out.append((k, len(t), sum(e - s for s, e in spans), len(spans), kept.hexdigest(), [{"start": s, "end": e} for s, e in spans]))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    done = texts.join(lists, "k", "left").select("k", "text", "copies", "p").mapInArrow(run, rows)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k"))
+    done = materialise(texts.join(lists, "k", "left").select("k", "text", "copies", "p").mapInArrow(run, rows), "removed")
+    discard(texts, *steps)
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("k"))
     return ids.join(done, "k").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 

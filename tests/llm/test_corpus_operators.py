@@ -149,12 +149,38 @@ def brute_windows(rows, length=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_suffix_dedup_equals_all_windows(docs, empty, hot):
-    got = Counter(tuple(r) for r in suffix_dedup.removals(docs, hot=hot).drop("spans").collect())
+def test_suffix_dedup_equals_all_windows(docs, empty):
+    got = Counter(tuple(r) for r in suffix_dedup.removals(docs).drop("spans").collect())
     assert got == brute_windows(ROWS)
-    if hot == 1:
-        assert suffix_dedup.removals(empty).count() == 0
+    assert suffix_dedup.removals(empty).count() == 0
+
+
+def test_suffix_dedup_of_long_texts_and_a_frequent_line(spark):
+    rng = random.Random(31)
+    line = "this line of seventy bytes or more stands in very many of the texts here, again"
+    rows = [(i, f"{sentence(rng, 25)} {line} {sentence(rng, 25)}") for i in range(600)]
+    long = sentence(rng, 16_000)  # about 90 kB: many stretches
+    rows += [(1000, long), (1001, f"{sentence(rng, 40)} {long[20_000:60_000]} {sentence(rng, 40)}"), (1002, long[:30_000] + "x" + long[30_001:]), (1003, None), (1004, rows[0][1])]
+    rows += [(2000 + i, f"{long[100 : 100 + 150 + 13 * i]} {sentence(rng, 30)}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"k": F.lit(1), "start": F.lit("x"), "copies": F.lit(2)}).repartition(3)
+    got = Counter(tuple(r) for r in suffix_dedup.removals(df, stretch=1 << 12).drop("spans").collect())
+    assert got == brute_windows(rows)
+
+
+def test_agreement_is_the_best_common_prefix(spark):
+    rng = random.Random(13)
+    rows = [(i, rng.randrange(3), bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 6)))) for i in range(300)] + [(300 + i, 9, b"same") for i in range(200)] + [(900, 77, b"")]
+    df = spark.createDataFrame([(i, c, bytearray(x)) for i, c, x in rows], "id long, core long, context binary")
+
+    def common(x, y):
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        return n
+
+    want = {i: max([-1, *(common(x, y) for j, d, y in rows if j != i and d == c)]) for i, c, x in rows}
+    got = {r.id: r.far for r in suffix_dedup.agreement(df.repartition(4), 6).groupBy("id").agg(F.max("far").alias("far")).collect()}
+    assert got == want
 
 
 def test_phrases_tile_the_starts_and_follow_content():
