@@ -5,13 +5,13 @@ Grammar of a formatted conversation::
     conversation := ESCAPED? turn*
     turn         := START role MID text END newline
 
-A conversation is first rendered as it is and reparsed. If the parser gives back other turns than the source, the
-conversation's roles and texts are escaped (backslash and ``<|`` get a backslash), the output is marked as escaped, and it
-is reparsed again; no control string can then stand inside a role or a text, so the second round trip is
-identical. Every result column is read from the formatted string, through the same parser.
+Roles and texts hold no control string (START, MID, END, ESCAPED). A conversation is first rendered as it is and reparsed. The parser is strict: it gives
+no turns at all for an output that breaks the grammar, so a control string inside a role or a text, wherever it stands, fails the round trip. Then
+the conversation's roles and texts are escaped (backslash and ``<|`` get a backslash), the output is marked as escaped, and it
+is reparsed again; the second round trip must be identical, or the query raises. Every result column is read from the formatted string, through the same parser.
 
 Defined cases: null role or text is empty; turns sort by turn (null first), then role, then text; rows with null conv_id form
-one conversation; repeated rows are turns of their own; an empty table gives conversation -1 alone (in the query).
+one conversation; repeated rows are turns of their own; an empty table gives conversation -1 alone (in the query); further columns are not read.
 """
 
 from __future__ import annotations
@@ -43,21 +43,28 @@ def _literal(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
+def _times(c: Column, control: str) -> Column:
+    return (F.length(c) - F.length(F.replace(c, F.lit(control), F.lit("")))) / len(control)
+
+
 def parse(formatted: Column) -> Column:
-    """array<struct<role, text, raw>>: the deterministic parser. ``raw`` is the text as it stands in the output."""
+    """array<struct<role, text, raw>>: the deterministic parser; null if the string breaks the grammar. ``raw`` is the text as it stands in the output."""
     escaped = F.startswith(formatted, F.lit(ESCAPED))
     body = F.when(escaped, F.substr(formatted, F.lit(len(ESCAPED) + 1))).otherwise(formatted)
-    # the first piece is what precedes the first START: nothing
-    parts = F.filter(F.split(body, _literal(START)), lambda p, i: i > 0)
+    parts = F.split(body, _literal(START))  # the first piece is what precedes the first START: nothing
     plain = lambda c: F.when(escaped, unescape(c)).otherwise(c)
 
     def turn(p: Column) -> Column:
         role = F.substring_index(p, MID, 1)
         rest = F.substr(p, F.length(role) + F.lit(len(MID) + 1))
-        raw = F.substr(rest, F.lit(1), F.greatest(F.length(rest) - F.lit(len(END) + 1), F.lit(0)))
+        raw = F.substring_index(rest, END, 1)
         return F.struct(plain(role).alias("role"), plain(raw).alias("text"), raw.alias("raw"))
 
-    return F.transform(parts, turn)
+    def lawful(p: Column) -> Column:
+        return (_times(p, MID) == 1) & (_times(p, END) == 1) & F.endswith(p, F.lit(END + "\n")) & ~F.contains(p, F.lit(ESCAPED)) & (F.instr(p, MID) < F.instr(p, END))
+
+    valid = (F.get(parts, F.lit(0)) == "") & F.forall(F.slice(parts, F.lit(2), F.size(parts)), lawful)
+    return F.when(valid, F.transform(F.slice(parts, F.lit(2), F.size(parts)), turn))
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
@@ -69,7 +76,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     source = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("source"))
     same = lambda a, b: F.transform(a, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))) == F.transform(b, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     raw = source.withColumn("formatted", render(F.col("source"), False))
-    tried = raw.withColumn("escaped", ~same(F.col("source"), parse(F.col("formatted"))))
+    tried = raw.withColumn("escaped", ~F.coalesce(same(F.col("source"), parse(F.col("formatted"))), F.lit(False)))
     done = tried.withColumn("formatted", F.when(F.col("escaped"), render(F.col("source"), True)).otherwise(F.col("formatted"))).withColumn("turns", parse(F.col("formatted")))
     checked = done.withColumn("turns", F.when(same(F.col("source"), F.col("turns")), F.col("turns")).otherwise(F.raise_error(F.lit("the round trip is not identical")).cast(done.schema["turns"].dataType)))
     # where each turn's text stands: role and text lengths as they are in the output
@@ -121,7 +128,7 @@ WITH rows AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
     coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
-    bool_or(contains(role || chr(1) || text, '<|im_start|>') OR contains(role, '<|im_sep|>')) AS escaped,
+    bool_or(regexp_matches(role, '<\|(im_start|im_sep|im_end|escaped)\|>') OR regexp_matches(text, '<\|(im_start|im_sep|im_end|escaped)\|>')) AS escaped,
     sum(34 - 1 + length(role) + length(text)) AS plain,
     sum(length(role) + length(text) + 33
       + length(role) - length(replace(role, chr(92), '')) + length(text) - length(replace(text, chr(92), ''))
