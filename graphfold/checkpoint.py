@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
+    """The shared folder of spark.checkpoint.dir; one of our own where that is unset, in local mode only: executors on other machines would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='graphfold-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -23,3 +25,14 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables made by materialise() that no later plan reads."""
+    for df in frames:
+        spark = df.sparkSession
+        files = df.inputFiles()
+        if not files:
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
