@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphfold.checkpoint import discard, materialise, scratch_dir  # noqa: F401
+
 #: Words of the contracts: runs of anything but ASCII white space. ``bytes.split()`` cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,34 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset (tests, local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='graphfold-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables made by materialise() that no later plan reads."""
-    for df in frames:
-        spark = df.sparkSession
-        files = df.inputFiles()
-        if not files:
-            continue
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)`` (any orientable type) as ``(node, component)``; component is the least node.
 
@@ -61,13 +32,14 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if not seen[0]:
             break
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # minima are written before they are joined: a hub is then one row on one side, and the join can split its rows on the other
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         big = materialise(large, "cc")
-        least = big.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialise(big.groupBy("a").agg(F.min("b").alias("m")), "cc")
         small = big.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         new = materialise(small, "cc")
-        discard(big, cur)
+        discard(big, cur, low, least)
         cur, was, seen = new, seen, digest(new)
         if was == seen:
             break

@@ -210,7 +210,7 @@ def test_substring_dedup_removes_all_but_the_first(spark, empty):
     assert {d for d, r in got.items() if r.n_repeated} == {1, 2, 3, 4, 8, 9, 10}
     s = got[2].spans[0]
     assert rows[1][1].encode()[s.start : s.end].decode() == p and s.kept_doc_id == 1
-    assert got[9].n_removed >= 0.9 * (len(run.encode()) - 60)
+    assert got[9].n_removed >= 0.5 * len(run.encode())
     assert len(got) == len(rows) and got[6].n_bytes == 0
     assert substring_dedup.removals(empty).count() == 0
     same = spark.createDataFrame([(1, p), (1, p)], "doc_id long, text string")
@@ -225,6 +225,59 @@ def test_short_units_that_differ_by_a_word_at_an_end(spark):
     assert {d for d, n in got.items() if n} == {2, 4, 6}
 
 
+def test_passages_pasted_inside_sentences_are_found(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(60):  # one line each, no sentence ends; half of the pairs share 50 words at any place
+        shared = sentence(rng, 50)
+        for j in range(2):
+            words = [sentence(rng, rng.randint(0, 40)), shared if i % 2 else sentence(rng, 50), sentence(rng, rng.randint(0, 40))]
+            rows.append((2 * i + j, "\n".join(words) if i % 4 == 1 else " ".join(words)))
+    got = {r.doc_id: r for r in substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "unit": F.lit("u")})).collect()}
+    for i in range(60):
+        assert (got[2 * i].n_repeated > 0) == (got[2 * i + 1].n_removed > 0) == bool(i % 2)
+        assert got[2 * i].n_removed == 0
+    text = rows[3][1].encode()
+    assert all(text[s.start : s.end] in rows[2][1].encode() for s in got[3].spans)
+
+
+def test_passages_depend_on_content_alone():
+    rng = random.Random(18)
+    known = jaccard.WordHash()
+    shared = sentence(rng, 39)
+    for _ in range(50):
+        texts = [f"{sentence(rng, rng.randint(0, 30))}  {shared}\t{sentence(rng, rng.randint(0, 30))}".encode() for _ in range(2)]
+        units = [dict(zip(u.tolist(), zip(a.tolist(), e.tolist(), strict=True), strict=True)) for a, e, u in (substring_dedup.passages(t, known) for t in texts)]
+        both = units[0].keys() & units[1].keys()
+        assert both
+        for u in both:
+            a, b = (t[slice(*x[u])].split() for t, x in zip(texts, units, strict=True))
+            assert a == b and len(a) == 20
+
+
+def test_near_units_equal_brute_force(spark):
+    """Random paragraphs of 8 to 30 words, with words added, dropped and changed: classes against all pairs."""
+    rng = random.Random(23)
+    lines = []
+    for _ in range(70):
+        w = sentence(rng, rng.randint(8, 30)).split()  # too short for a passage
+        lines.append(" ".join(w))
+        for _ in range(rng.randint(0, 3)):
+            v = list(w)
+            k = rng.choice(["add", "drop", "change", "edge"])
+            at = rng.randrange(len(v)) if k != "edge" else 0
+            v[at : at + (k in ("drop", "change"))] = [] if k == "drop" and len(v) > 8 else [rng.choice(VOCAB)]
+            lines.append(" ".join(v))
+    rows = [(i, t) for i, t in enumerate(lines)]
+    want = {d: c for d, c, n in brute_classes([(d, t) for d, t in rows])}
+    linked = {d for d, c, n in brute_classes([(d, t) for d, t in rows]) if n}
+    got = {r.doc_id: r for r in substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {d for d, r in got.items() if r.n_repeated}
+    assert found <= linked and len(found) >= 0.98 * len(linked) and len(linked) > 60
+    for d, r in got.items():
+        assert all(want[s.kept_doc_id] == want[d] for s in r.spans)
+
+
 def test_bands_have_the_recall_of_their_formula():
     rng = random.Random(6)
     hit = n = 0
@@ -322,8 +375,21 @@ def test_forward_sums_all_segmentations():
     def total(s):
         return 1.0 if not s else sum(prob[i, 0] * total(s[len(p) :]) for i, p in enumerate(pieces) if s.startswith(p)) + 1e-9 * total(s[1:])
 
-    words = ["ab", "aba", "abab", "b", "aq", "abbaabab"]
+    words = ["ab", "aba", "abab", "b", "aq", "abbaabab", "ab", "qqqqqqqqqqqqab"]
     assert np.allclose(seg.log_prob(words)[:, 0], [math.log(total("▁" + w)) for w in words], rtol=1e-6)
+
+    def log_total(w):  # the same sum in logarithms, for words of any length
+        at = [0.0]
+        for e in range(1, len(w) + 1):
+            ways = [at[e - 1] + math.log(1e-9), *(at[e - len(p)] + math.log(prob[i, 0]) for i, p in enumerate(pieces) if e >= len(p) and w[e - len(p) : e] == p)]
+            top = max(ways)
+            at.append(top + math.log(sum(math.exp(x - top) for x in ways)))
+        return at[-1]
+
+    rng = random.Random(4)
+    long = ["".join(rng.choice("ab" * 9 + "q") for _ in range(n)) for n in (47, 48, 49, 200, 200, 3000)] + ["q" * 34, "ab" + "q" * 400]
+    assert np.allclose(seg.log_prob(long)[:, 0], [log_total("▁" + w) for w in long], rtol=1e-9)
+    assert np.isfinite(language_id.expectations(seg, long, np.ones(len(long)))).all()
     e = language_id.expectations(seg, ["ab"], np.array([2.0]))
     ways = {("▁", "a", "b"): 0.1 * 0.1 * 0.15, ("▁", "ab"): 0.1 * 0.2, ("▁a", "b"): 0.2 * 0.15, ("▁ab",): 0.1}
     z = sum(ways.values())
@@ -358,6 +424,8 @@ def test_language_without_spaces_is_learned(spark):
 
     model = language_id.fit(df, language_id.vocabulary_pieces(path("piece_bpe_32k.model")))
     assert model.langs == ["xx", "zz"]
+    known, odd = ["".join(rng.choice(langs[k]) for _ in range(3)) for k in langs], "語" * 60  # unknown letters tell nothing, known ones still decide
+    assert [int(x.argmax()) for x in model.log_prob([f"{k}{odd}" for k in known])] == [0, 1]
     assert all(r.lang_pred == ("xx" if r.doc_id < 40 else "zz") for r in language_id.identify(df, model).collect())
 
 
