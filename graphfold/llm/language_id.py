@@ -6,11 +6,13 @@ its words. Piece probabilities are learned by expectation maximisation with the
 ``docs_per_lang`` labelled texts for each language (the documented bound; those whose doc_id hashes below the language's share). No id
 enters a prediction, and held-out texts never enter the counts.
 
-Words are in lower case and start with the vocabulary's word mark. All distinct words of a batch are scored together: a
-dense trie over the learned pieces is walked from every start position of all words at once.
+Words are in lower case, start with the vocabulary's word mark and are taken whole, however long. All distinct words of a batch are scored together: a
+dense trie over the learned pieces is walked from every start position of all words at once. The forward table is a ring that holds as many positions as the longest
+piece has characters; it is rescaled on the way and the scales are kept as logarithms, so no length underflows and memory is bounded.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0; repeated rows are scored each; an empty table
-gives an empty result; without any learned language every text is ``und``; a null doc_id counts as the text '' when the fold is taken.
+Defined cases: a text that is null or has no letter is ``und`` with score 0; equally probable languages go to the first by name; repeated rows are scored each; an empty table
+gives an empty result; without any learned language every text is ``und``; a null doc_id counts as the text '' when the fold is taken; columns other than doc_id, text and
+lang are not read.
 """
 
 from __future__ import annotations
@@ -57,6 +59,7 @@ class PieceTrie:
             for i, b in n.items():
                 self.next[a, i] = b
         self.piece = np.array(piece, np.int32)
+        self.deepest = max((len(p) for p in pieces), default=1)
 
     def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Letters of marked words, padded by -1, and their lengths."""
@@ -68,23 +71,40 @@ class PieceTrie:
         out[np.arange(out.shape[1]) < n[:, None]] = flat
         return out, n
 
+    def walk(self, codes: np.ndarray, s: int):
+        """All (end, rows, pieces) with a piece on codes[rows, s:end]."""
+        rows, state = np.arange(len(codes)), np.ones(len(codes), np.int32)
+        for e in range(s, min(codes.shape[1], s + self.deepest)):
+            c = codes[rows, e]
+            go = c > 0
+            rows, state = rows[go], self.next[state[go], c[go]]
+            go = state > 0
+            rows, state = rows[go], state[go]
+            if not len(rows):
+                return
+            p = self.piece[state]
+            m = p >= 0
+            if m.any():
+                yield e + 1, rows[m], p[m]
+
     def edges(self, codes: np.ndarray):
-        """All (start, end, rows, pieces) with a piece on codes[rows, start:end], by start."""
-        rows_, wide = np.arange(len(codes)), codes.shape[1]
-        for s in range(wide):
-            rows, state = rows_, np.ones(len(codes), np.int32)
-            for e in range(s, wide):
-                c = codes[rows, e]
-                go = c > 0
-                rows, state = rows[go], self.next[state[go], c[go]]
-                go = state > 0
-                rows, state = rows[go], state[go]
-                if not len(rows):
-                    break
-                p = self.piece[state]
-                m = p >= 0
-                if m.any():
-                    yield s, e + 1, rows[m], p[m]
+        """All (start, end, rows, pieces), by start."""
+        for s in range(codes.shape[1]):
+            for e, rows, p in self.walk(codes, s):
+                yield s, e, rows, p
+
+
+def batches_of(words: list[str], most: int, cells: int = 1 << 22):
+    """Places of words of about the same length, shortest first: at most ``most`` words and about ``cells`` characters at a time."""
+    size = np.array([len(w) + 1 for w in words], np.int64)
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        k = min(most, len(order) - at)
+        while k > 1 and k * size[order[at + k - 1]] > cells:
+            k = max(1, k // 2)
+        yield order[at : at + k]
+        at += k
 
 
 class Segmenter:
@@ -93,78 +113,79 @@ class Segmenter:
     def __init__(self, pieces: list[str], langs: list[str], prob: np.ndarray, unknown: float = 1e-9):
         self.trie, self.langs, self.prob, self.unknown = PieceTrie(pieces), langs, prob, unknown
 
-    def forward(self, codes: np.ndarray) -> np.ndarray:
-        """alpha[row, position, language]: the probability of the first ``position`` characters, over all segmentations."""
-        alpha = np.zeros((len(codes), codes.shape[1] + 1, self.prob.shape[1]))
+    def forward(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log P of each row's first n characters per language, over all segmentations; rows are sorted by n."""
+        trie, langs = self.trie, self.prob.shape[1]
+        ring = trie.deepest + 2
+        alpha, scale, out = np.zeros((len(codes), ring, langs)), np.zeros((len(codes), langs)), np.zeros((len(codes), langs))
         alpha[:, 0] = 1
-        done = -1
-        for s, e, rows, p in self.trie.edges(codes):
-            while done < s:  # all edges into s have been added: let an unknown character pass as well
-                done += 1
-                if done:
-                    alpha[:, done] += alpha[:, done - 1] * self.unknown
-            alpha[rows, e] += alpha[rows, s] * self.prob[p]
-        while done < codes.shape[1]:
-            done += 1
-            if done:
-                alpha[:, done] += alpha[:, done - 1] * self.unknown
-        return alpha
+        for s in range(codes.shape[1] + 1):
+            here = s % ring
+            if s:  # all edges into s have been added: let an unknown character pass as well
+                last = (s - 1) % ring
+                alpha[:, here] += alpha[:, last] * self.unknown
+                alpha[:, last] = 0
+            lo, hi = np.searchsorted(n, (s, s + 1))
+            if hi > lo:
+                out[lo:hi] = np.log(alpha[lo:hi, here]) + scale[lo:hi]
+            if s % 8 == 7:  # eight unknown characters cost 1e-72
+                top = alpha.max(1)
+                alpha /= top[:, None]
+                scale += np.log(top)
+            for e, rows, p in trie.walk(codes, s):
+                alpha[rows, e % ring] += alpha[rows, here] * self.prob[p]
+        return out
 
     def log_prob(self, words: list[str]) -> np.ndarray:
-        """log P(word | language), summed over all segmentations. Long words are scored in stretches of 48 characters."""
-        if not words:
-            return np.zeros((0, self.prob.shape[1]))
-        whole = [w[i : i + 48] for w in words for i in range(0, len(w), 48)]
-        owner = np.repeat(np.arange(len(words)), [-(-len(w) // 48) for w in words])
-        out = np.zeros((len(whole), self.prob.shape[1]))
-        order = np.argsort([len(w) for w in whole], kind="stable")
-        step = max(128, 32_768 // self.prob.shape[1])  # bounds the forward table for any number of languages
-        for at in range(0, len(order), step):
-            pick = order[at : at + step]
-            codes, n = self.trie.codes([whole[i] for i in pick])
-            out[pick] = np.log(np.maximum(self.forward(codes)[np.arange(len(pick)), n], 1e-300))
-        total = np.zeros((len(words), self.prob.shape[1]))
-        np.add.at(total, owner, out)
-        return total
+        """log P(word | language), summed over all segmentations of the whole word."""
+        out = np.zeros((len(words), self.prob.shape[1]))
+        for pick in batches_of(words, max(128, 32_768 // max(1, self.prob.shape[1]))):  # bounds the forward table for any number of languages
+            out[pick] = self.forward(*self.trie.codes([words[i] for i in pick]))
+        return out
 
 
 def expectations(seg: Segmenter, words: list[str], counts: np.ndarray) -> np.ndarray:
-    """Expected uses of every piece in one language's words (seg holds that language alone): forward times backward."""
+    """Expected uses of every piece in one language's words (seg holds that language alone): forward times backward, in logarithms."""
     out = np.zeros(len(seg.prob))
-    order = np.argsort([len(w) for w in words], kind="stable")
-    for at in range(0, len(order), 8192):
-        pick = order[at : at + 8192]
+    with np.errstate(divide="ignore"):
+        log_p, log_u = np.log(seg.prob[:, 0]), np.log(seg.unknown)
+    for pick in batches_of(words, 8192, 1 << 20):
         codes, n = seg.trie.codes([words[i] for i in pick])
-        alpha = seg.forward(codes)[:, :, 0]
-        edges = list(seg.trie.edges(codes))
-        beta = np.zeros_like(alpha)
-        beta[np.arange(len(pick)), n] = 1
-        by_start: dict[int, list] = {}
-        for edge in edges:
-            by_start.setdefault(edge[0], []).append(edge)
-        for s in range(codes.shape[1] - 1, -1, -1):
-            beta[:, s] += beta[:, s + 1] * seg.unknown
-            for _, e, rows, p in by_start.get(s, []):
-                beta[rows, s] += beta[rows, e] * seg.prob[p, 0]
-        whole = np.maximum(alpha[np.arange(len(pick)), n], 1e-300)
-        for s, e, rows, p in edges:
-            np.add.at(out, p, counts[pick[rows]] * alpha[rows, s] * seg.prob[p, 0] * beta[rows, e] / whole[rows])
+        wide = codes.shape[1]
+        alpha = np.full((len(pick), wide + 1), -np.inf)
+        alpha[:, 0] = 0
+        by_start = []
+        for s in range(wide):
+            if s:
+                alpha[:, s] = np.logaddexp(alpha[:, s], alpha[:, s - 1] + log_u)
+            edges = list(seg.trie.walk(codes, s))
+            by_start.append(edges)
+            for e, rows, p in edges:
+                alpha[rows, e] = np.logaddexp(alpha[rows, e], alpha[rows, s] + log_p[p])
+        alpha[:, wide] = np.logaddexp(alpha[:, wide], alpha[:, wide - 1] + log_u)
+        beta = np.full_like(alpha, -np.inf)
+        beta[np.arange(len(pick)), n] = 0
+        whole = alpha[np.arange(len(pick)), n]
+        for s in range(wide - 1, -1, -1):
+            beta[:, s] = np.logaddexp(beta[:, s], beta[:, s + 1] + log_u)
+            for e, rows, p in by_start[s]:
+                beta[rows, s] = np.logaddexp(beta[rows, s], beta[rows, e] + log_p[p])
+        for s, edges in enumerate(by_start):
+            for e, rows, p in edges:
+                np.add.at(out, p, counts[pick[rows]] * np.exp(alpha[rows, s] + log_p[p] + beta[rows, e] - whole[rows]))
     return out
 
 
-def fit(docs: DataFrame, vocabulary: list[str], docs_per_lang: int = 300, rounds: int = 3, max_langs: int = 400, smooth: float = 0.1) -> Segmenter | None:
-    """Learn from rows with a text and a language that are not held out. At most ``docs_per_lang`` texts per language, at most ``max_langs`` languages."""
+def fit(docs: DataFrame, vocabulary: list[str], docs_per_lang: int = 300, rounds: int = 3, smooth: float = 0.1) -> Segmenter | None:
+    """Learn from rows with a text and a language that are not held out. About ``docs_per_lang`` texts per language, whole."""
     known = docs.where("text is not null and lang is not null").where(bucket(F.col("doc_id"), 3) != 1)
-    langs = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(max_langs + 1).collect()}
+    langs = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").collect()}  # a row per language
     if not langs:
         return None
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
     # a hash share per language: about docs_per_lang rows each, without ordering or gathering a language
     share = F.create_map(*(F.lit(x) for k, n in langs.items() for x in (k, min(1.0, docs_per_lang / n))))
     u = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     words = known.where(u <= share[F.col("lang")]).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("w"))
-    words = words.select("lang", F.explode(F.regexp_extract_all("w", F.lit("(?s).{1,48}"), F.lit(0))).alias("w"))  # the stretches that log_prob() scores
     got = words.groupBy("lang", "w").count().toPandas()  # bounded by the number of texts learned from
     text = {k: (g["w"].tolist(), g["count"].to_numpy(float)) for k, g in got.sort_values(["lang", "w"]).groupby("lang")}
     names = [k for k in langs if k in text]
@@ -174,8 +195,8 @@ def fit(docs: DataFrame, vocabulary: list[str], docs_per_lang: int = 300, rounds
     base = PieceTrie(vocabulary)
     seen = np.zeros(len(vocabulary), bool)
     for w, _ in text.values():
-        for at in range(0, len(w), 8192):
-            for _, _, _, p in base.edges(base.codes(w[at : at + 8192])[0]):
+        for pick in batches_of(w, 8192):
+            for _, _, _, p in base.edges(base.codes([w[i] for i in pick])[0]):
                 seen[p] = True
     pieces = [p for p, s in zip(vocabulary, seen, strict=True) if s]
     prob = np.empty((len(pieces), len(names)))
