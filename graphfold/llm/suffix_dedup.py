@@ -10,7 +10,8 @@ into two suffix orders: that of the dictionary (trigger string, then the bytes b
 then the bytes after it). Both are sorted by range over the whole corpus, so a trigger string or a context of any frequency is spread over tasks, and each row's
 common prefix with its neighbours in the order says how far any other phrase agrees with it: l bytes to the left, r to the right. A window that reaches t bytes
 to the left and 136 - t to the right of the trigger can be repeated only if t <= l and 136 - t <= r, so combining both orders leaves one interval of
-windows per phrase, empty for most. The windows of these intervals are compared exactly by a 128-bit name, with partial counts. All steps yield rows in
+windows per phrase, empty for most. For two phrases it is exact; with more, the partner to the left may not be the one to the right, and the windows of the interval
+are compared by a 128-bit name, with partial counts. All steps yield rows in
 proportion to the phrases' lengths, whatever the size of a group.
 
 Texts are deduplicated first by a 128-bit key (a copied text is removed as a whole), into a table that is bucketed by text, so that later joins move
@@ -177,8 +178,8 @@ def covered(texts: DataFrame, length: int = 200, gram: int = 64, stretch: int =
     names = materialise(seen.groupBy("core", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos", "starts", "left")).alias("at")), "dictionary")
     twice = materialise(names.where("n > 1").select("core", "f1", "f2"), "twice")
     whole = seen.join(twice, ["f1", "f2", "core"], "left_semi").select("k", F.col("pos").alias("start"), (F.col("pos") + F.col("starts") + length - 1).alias("end"))
-    kinds = materialise(names.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"), "kinds")
-    lists = names.join(kinds, "core", "left_semi").select("core", "n", "at.*").groupBy("k").agg(F.collect_list(F.struct("core", "n", "pos", "starts", "left")).alias("p"))
+    kinds = materialise(names.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    lists = names.join(kinds, "core").select("core", "n", "kinds", "at.*").groupBy("k").agg(F.collect_list(F.struct("core", "n", "kinds", "pos", "starts", "left")).alias("p"))
 
     def cut(batches):
         for b in batches:
@@ -186,11 +187,11 @@ def covered(texts: DataFrame, length: int = 200, gram: int = 64, stretch: int =
             for k, t, ps in zip(b.column("k").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("p").to_pylist(), strict=True):
                 for p in ps:
                     a, end = p["pos"] + p["left"], p["pos"] + p["starts"] - 1 + length
-                    rows.append((p["core"], p["n"] == 1, k, a, t[p["pos"] : a][::-1], t[a : a + gram], t[a + gram : end]))
+                    rows.append((p["core"], p["n"] == 1, p["kinds"] == 2, k, a, t[p["pos"] : a][::-1], t[a : a + gram], t[a + gram : end]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["core", "once", "k", "at", "back", "trigger", "ahead"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["core", "once", "pair", "k", "at", "back", "trigger", "ahead"])
 
-    mixed = texts.select("k", "text").join(lists, "k").select("k", "text", "p").mapInArrow(cut, "core long, once boolean, k binary, at long, back binary, trigger binary, ahead binary")
+    mixed = texts.select("k", "text").join(lists, "k").select("k", "text", "p").mapInArrow(cut, "core long, once boolean, pair boolean, k binary, at long, back binary, trigger binary, ahead binary")
     mixed = materialise(mixed.withColumn("id", F.monotonically_increasing_id()), "mixed")
     left = agreement(mixed.select("id", "core", F.col("back").alias("context")), reach)
     right = agreement(mixed.select("id", "core", F.col("ahead").alias("context")), reach)
@@ -206,10 +207,13 @@ def covered(texts: DataFrame, length: int = 200, gram: int = 64, stretch: int =
                 d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t[i : i + length]) for i in range(first, last + 1)), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_pydict({"w1": d[:, 0].copy(), "w2": d[:, 1].copy(), "k": pa.array([k] * len(d), pa.binary()), "start": np.arange(p + first, p + last + 1), "once": np.full(len(d), once)})
 
-    every = materialise(mixed.join(interval, "id").select("once", "k", "at", "back", "trigger", "ahead", "l", "r").mapInArrow(windows, "w1 long, w2 long, k binary, start long, once boolean"), "windows")
+    met = mixed.join(materialise(interval, "intervals"), "id")
+    # of two phrases each is the other's partner on both sides, so their intervals are exact
+    pairs = met.where("pair and once").select("k", (F.col("at") - F.col("l")).alias("start"), (F.col("at") - reach + F.col("r") + length).alias("end"))
+    every = materialise(met.where("not pair").select("once", "k", "at", "back", "trigger", "ahead", "l", "r").mapInArrow(windows, "w1 long, w2 long, k binary, start long, once boolean"), "windows")
     again = materialise(every.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2"), "again")
     warm = every.where("once").join(again, ["w1", "w2"], "left_semi").select("k", "start", (F.col("start") + length).alias("end"))
-    return whole.unionByName(warm), [often, seen, names, twice, kinds, mixed, left, right, every, again]
+    return whole.unionByName(pairs).unionByName(warm), [often, seen, names, twice, kinds, mixed, left, right, every, again]
 
 
 def _spans(pairs: list, copies: int, n: int, length: int) -> list[tuple[int, int]]:
