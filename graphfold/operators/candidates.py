@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphfold.checkpoint import materialise
 from graphfold.functions.cost import block_cost, log2_floor
 from graphfold.functions.hashing import overflow_rank
+from graphfold.operators.gain import joint_cost
 from graphfold.operators.quotient import arc_rows, edge_count, rows
 
 
@@ -20,15 +21,24 @@ def old_costs(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
     return sizes.select("rep").join(got, "rep", "left").select("rep", F.coalesce("old_cost", F.lit(0)).cast("long").alias("old_cost"))
 
 
-def proxy_shared(blocks: DataFrame, sizes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(group, a, b, shared): saving on neighbours that two members of a group share. Pairs meet inside (group, neighbour), whose rows are bounded by the group limit."""
+def shared_neighbours(blocks: DataFrame, sizes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, a, b, shared, joint) of members of a group that share a neighbour: the saving on shared neighbours (0: none), and the joint cost that exact_gain() needs.
+
+    Pairs meet inside (group, neighbour), whose rows are bounded by the group limit.
+    """
     s = sizes.select("rep", F.col("size").alias("s"))
     n = sizes.select(F.col("rep").alias("nbr"), F.col("size").alias("sn"))
-    row = rows(blocks).join(groups.select("rep", "group", "idx"), "rep").join(s, "rep").join(n, "nbr")
-    pick = lambda k: row.select("group", "nbr", "sn", F.col("rep").alias(k), F.col("idx").alias(f"i{k}"), F.col("s").alias(f"s{k}"), F.col("edges").alias(f"e{k}"))
-    pair = pick("a").join(pick("b").drop("sn"), ["group", "nbr"]).where("ia < ib and nbr <> a and nbr <> b")
+    row = rows(blocks).join(groups.select("rep", "group", "idx"), "rep").join(s, "rep")
+    pick = lambda k: row.select("group", "nbr", F.col("rep").alias(k), F.col("idx").alias(f"i{k}"), F.col("s").alias(f"s{k}"), F.col("edges").alias(f"e{k}"))
+    pair = pick("a").join(pick("b"), ["group", "nbr"]).where("ia < ib").join(n, "nbr")  # rows have no self entries, so a shared neighbour is neither a nor b
     delta = block_cost(F.col("sa"), F.col("sn"), F.col("ea")) + block_cost(F.col("sb"), F.col("sn"), F.col("eb")) - block_cost(F.col("sa") + F.col("sb"), F.col("sn"), F.col("ea") + F.col("eb"))
-    return pair.withColumn("d", delta).where("d > 0").groupBy("group", "a", "b").agg(F.sum("d").alias("shared"))
+    joint = joint_cost(F.col("sa") + F.col("sb"), F.col("sn"), F.col("ea"), F.col("eb"))
+    return pair.groupBy("group", "a", "b").agg(F.sum(F.greatest(delta, F.lit(0))).alias("shared"), F.sum(joint).alias("joint"))
+
+
+def proxy_shared(blocks: DataFrame, sizes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, a, b, shared): positive savings on neighbours that two members of a group share."""
+    return shared_neighbours(blocks, sizes, groups).where("shared > 0").select("group", "a", "b", "shared")
 
 
 def proxy_direct(blocks: DataFrame, groups: DataFrame) -> DataFrame:
@@ -42,13 +52,13 @@ def proxy_direct(blocks: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def proxy(blocks: DataFrame, sizes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(group, a, b, proxy_gain, proxy_ratio) with a positive gain."""
-    both = proxy_shared(blocks, sizes, groups).withColumnRenamed("shared", "g").unionByName(proxy_direct(blocks, groups).withColumnRenamed("direct", "g"))
-    gain = both.groupBy("group", "a", "b").agg(F.sum("g").alias("proxy_gain")).where("proxy_gain > 0")
+    """(group, a, b, proxy_gain, proxy_ratio, joint) with a positive gain."""
+    both = shared_neighbours(blocks, sizes, groups).withColumnRenamed("shared", "g").unionByName(proxy_direct(blocks, groups).withColumnRenamed("direct", "g").withColumn("joint", F.lit(None).cast("long")))
+    gain = both.groupBy("group", "a", "b").agg(F.sum("g").alias("proxy_gain"), F.sum("joint").alias("joint")).where("proxy_gain > 0")
     old = old_costs(blocks, sizes)
     oa, ob = old.select(F.col("rep").alias("a"), F.col("old_cost").alias("oa")), old.select(F.col("rep").alias("b"), F.col("old_cost").alias("ob"))
     ratio = F.col("proxy_gain") / F.greatest(F.lit(1), F.col("oa") + F.col("ob"))
-    return gain.join(oa, "a").join(ob, "b").select("group", "a", "b", "proxy_gain", ratio.alias("proxy_ratio"))
+    return gain.join(oa, "a").join(ob, "b").select("group", "a", "b", "proxy_gain", ratio.alias("proxy_ratio"), "joint")
 
 
 def top_k(pairs: DataFrame, groups: DataFrame, k: int = 16) -> DataFrame:

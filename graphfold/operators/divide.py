@@ -69,8 +69,10 @@ def divide(edges: DataFrame, partition: DataFrame, iteration: int, dims: int = 1
         members = partition.join(big.select("rep"), "rep", "left_semi")
         # written, so that the planner sees a column and not the mixer's chain of expressions
         ranked = materialise(hash_rank(partition.select("node"), "node", "r", d, iteration, seed), "ranked")
-        near = node_shingle(edges, ranked.select("node", unsigned_order(F.col("r")).alias("r")))
-        hashes = near.join(members, "node").groupBy("rep").agg(F.min("shingle").alias("minhash"))
+        order = ranked.select("node", unsigned_order(F.col("r")).alias("r"))
+        # only arcs that leave a member of a big group count
+        far = arcs(edges).join(members.select(F.col("node").alias("u"), "rep"), "u").join(order.withColumnRenamed("node", "v"), "v").select("rep", "r")
+        hashes = far.unionByName(members.join(order, "node").select("rep", "r")).groupBy("rep").agg(F.min("r").alias("minhash"))
         live = materialise(split_by_hash(big, hashes), "live")
     big = oversized(live, limit)
     plain = live.join(big.select("rep"), "rep", "left_anti")

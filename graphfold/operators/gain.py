@@ -1,12 +1,11 @@
 """Exact merge gains, upper bounds and what merging would cost.
 
-``pairs(a, b)`` are candidates; results add ``gain`` and ``before_cost``. A merge gathers both rows of a pair by union and aggregation, so no pair
-needs its rows in memory, and neighbours that both share meet in one group.
+``pairs(a, b)`` are candidates; results add ``gain`` and ``before_cost``. Rows of a pair are never gathered in memory: sums over them are joins and aggregates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphfold.functions.cost import block_cost
@@ -49,23 +48,39 @@ def certified(pairs: DataFrame, blocks: DataFrame, sizes: DataFrame, threshold:
     return ub.where(keep)
 
 
+def joint_cost(s: Column, sn: Column, ea: Column, eb: Column) -> Column:
+    """What a shared neighbour costs a merged supernode, less what both ends' edges to it would cost the merged supernode one by one."""
+    return block_cost(s, sn, ea + eb) - block_cost(s, sn, ea) - block_cost(s, sn, eb)
+
+
+def joint_costs(pairs: DataFrame, row: DataFrame) -> DataFrame:
+    """(a, b, joint) of pairs(a, b, s) that share a neighbour; ``row`` is rows() with the neighbour's size ``sn``."""
+    near = pairs.select("a", "b", "s").join(row.select(F.col("rep").alias("a"), "nbr", "sn", F.col("edges").alias("ea")), "a")
+    both = near.join(row.select(F.col("rep").alias("b"), "nbr", F.col("edges").alias("eb")), ["b", "nbr"])
+    return both.groupBy("a", "b").agg(F.sum(joint_cost(F.col("s"), F.col("sn"), F.col("ea"), F.col("eb"))).alias("joint"))
+
+
 def exact_gain(pairs: DataFrame, blocks: DataFrame, sizes: DataFrame) -> DataFrame:
     """Gain in exact partition cost if a and b merge.
 
-    Each pair meets the rows of both ends in one join; its rows are dealt by pair once, which serves the sum per neighbour and the sum per pair.
+    The cost of a merged row is what each end's own row costs at the merged size, corrected where both have the same neighbour. The former is one sum per
+    end and merged size, shared by all pairs that have them; only the latter needs pairs to meet neighbours. ``pairs`` may bring that correction
+    as ``joint``, if candidate search has met the shared neighbours already (null: none); else it is joined here.
     """
     e = _ends(pairs, blocks, sizes)
     s = F.col("sa") + F.col("sb")
     before = F.col("ca") + F.col("cb") - block_cost(F.col("sa"), F.col("sb"), F.col("edges"))
     inner = block_cost(s, s, F.col("ia") + F.col("ib") + F.col("edges"), True)
-    head = e.select("a", "b", before.alias("before_cost"), inner.alias("inner"), s.alias("s"))
+    between = block_cost(s, F.col("sa"), F.col("edges")) + block_cost(s, F.col("sb"), F.col("edges"))
+    head = e.select("a", "b", before.alias("before_cost"), (inner - between).alias("inside"), s.alias("s"))
     row = rows(blocks).join(sizes.select(F.col("rep").alias("nbr"), F.col("size").alias("sn")), "nbr")
-    met = head.withColumn("rep", F.explode(F.array("a", "b"))).join(row, "rep", "left").repartition("a", "b")
-    outside = (F.col("nbr") != F.col("a")) & (F.col("nbr") != F.col("b"))
-    by_neighbour = met.groupBy("a", "b", "before_cost", "inner", "s", "nbr", "sn").agg(F.sum(F.when(outside, F.col("edges"))).alias("x"))
-    after = F.coalesce(F.sum(block_cost(F.col("s"), F.col("sn"), F.col("x"))), F.lit(0))
-    gain = F.first("before_cost") - F.first("inner") - after
-    return by_neighbour.groupBy("a", "b").agg(gain.cast("long").alias("gain"), F.first("before_cost").cast("long").alias("before_cost"))
+    ends = head.select(F.explode(F.array("a", "b")).alias("rep"), "s").distinct()
+    own = ends.join(row, "rep").groupBy("rep", "s").agg(F.sum(block_cost(F.col("s"), F.col("sn"), F.col("edges"))).alias("own"))
+    joint = pairs.select("a", "b", "joint").distinct() if "joint" in pairs.columns else joint_costs(head, row)
+    at = lambda k: own.select(F.col("rep").alias(k), "s", F.col("own").alias(f"o{k}"))
+    x = head.join(at("a"), ["a", "s"], "left").join(at("b"), ["b", "s"], "left").join(joint, ["a", "b"], "left")
+    after = sum((F.coalesce(c, F.lit(0)) for c in ("oa", "ob", "joint")), F.col("inside"))
+    return x.select("a", "b", (F.col("before_cost") - after).cast("long").alias("gain"), F.col("before_cost").cast("long").alias("before_cost"))
 
 
 def legacy_gain(pairs: DataFrame, blocks: DataFrame, sizes: DataFrame) -> DataFrame:

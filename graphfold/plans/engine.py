@@ -81,7 +81,7 @@ class Summary:
 
 
 def propose(edges: DataFrame, state: commit.State, cfg: SummarizeConfig, t: int) -> DataFrame:
-    """(group, a_idx, b_idx, a, b) of one iteration."""
+    """(group, a_idx, b_idx, a, b) of one iteration; in-group search adds the joint costs that it has met."""
     if cfg.candidate_index == "legacy":
         groups = divide.divide(edges, state.partition, t, cfg.divide_hash_dims, cfg.divide_max_group, cfg.seed)
         groups = materialise(divide.refine_overflow(edges, state.partition, groups, cfg.overflow_group_gmax, cfg.overflow_refine_rounds, cfg.seed * 1000 + t) if cfg.overflow_group_gmax else groups, "groups")
@@ -90,7 +90,7 @@ def propose(edges: DataFrame, state: commit.State, cfg: SummarizeConfig, t: int)
         groups = groups.join(several, "group", "left_semi")
         pairs = candidates.top_k(candidates.proxy(state.blocks, state.sizes, groups), groups, cfg.top_k)
         ia, ib = groups.select(F.col("rep").alias("a"), F.col("idx").alias("a_idx")), groups.select(F.col("rep").alias("b"), F.col("idx").alias("b_idx"))
-        return pairs.join(ia, "a").join(ib, "b").select("group", "a_idx", "b_idx", "a", "b")
+        return pairs.join(ia, "a").join(ib, "b").select("group", "a_idx", "b_idx", "a", "b", "joint")
     make = candidates.neighbour_proposals if cfg.candidate_index == "quotient-neighbor" else candidates.residual_proposals
     p = make(state.blocks, state.sizes, cfg.candidate_budget, cfg.seed ^ t)
     low, high = F.least("source", "target"), F.greatest("source", "target")
@@ -99,12 +99,12 @@ def propose(edges: DataFrame, state: commit.State, cfg: SummarizeConfig, t: int)
 
 def score(pairs: DataFrame, state: commit.State, cfg: SummarizeConfig, theta: float | None) -> DataFrame:
     """pairs with gain and before_cost under the objective; certification drops pairs that can't gain."""
-    ab = pairs.select("a", "b").distinct()
+    ab = pairs.drop("group", "a_idx", "b_idx").distinct()
     if cfg.cost_objective == "legacy":
         got = gain.legacy_gain(ab, state.blocks, state.sizes)
     else:
         if cfg.certification == "safe":
-            ab = gain.certified(ab, state.blocks, state.sizes, theta or 0.0).select("a", "b")
+            ab = ab.join(gain.certified(ab, state.blocks, state.sizes, theta or 0.0).select("a", "b"), ["a", "b"], "left_semi")
         got = gain.exact_gain(ab, state.blocks, state.sizes)
     return pairs.join(got, ["a", "b"]).select("group", "a_idx", "b_idx", "a", "b", "gain", "before_cost")
 
@@ -123,7 +123,8 @@ def summarize(edges: DataFrame, cfg: SummarizeConfig | None = None) -> Summary:
     for t in range(1, cfg.iterations + 1):
         began = time.time()
         theta = limits.at(t, cfg.iterations)
-        scored = materialise(score(propose(edges, state, cfg, t), state, cfg, theta if cfg.use_threshold else None), "scored")
+        pairs = materialise(propose(edges, state, cfg, t), "pairs")  # scoring reads them more than once
+        scored = materialise(score(pairs, state, cfg, theta if cfg.use_threshold else None), "scored")
         passed = matching.threshold_filter(scored, theta if cfg.use_threshold else None)
         # proposals of an index may cross groups, so pairs must be disjoint as a whole
         selected = materialise(matching.greedy(passed) if cfg.candidate_index == "legacy" else matching.locally_dominant(passed, []), "selected")
