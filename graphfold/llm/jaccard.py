@@ -24,7 +24,7 @@ class WordHash(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 100_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h
         return h

@@ -149,7 +149,7 @@ def expectations(seg: Segmenter, words: list[str], counts: np.ndarray) -> np.nda
     out = np.zeros(len(seg.prob))
     with np.errstate(divide="ignore"):
         log_p, log_u = np.log(seg.prob[:, 0]), np.log(seg.unknown)
-    for pick in batches_of(words, 8192, 1 << 20):
+    for pick in batches_of(words, 2048, 1 << 18):
         codes, n = seg.trie.codes([words[i] for i in pick])
         wide = codes.shape[1]
         alpha = np.full((len(pick), wide + 1), -np.inf)

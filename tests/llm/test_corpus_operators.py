@@ -247,7 +247,7 @@ def test_passages_depend_on_content_alone():
     shared = sentence(rng, 39)
     for _ in range(50):
         texts = [f"{sentence(rng, rng.randint(0, 30))}  {shared}\t{sentence(rng, rng.randint(0, 30))}".encode() for _ in range(2)]
-        units = [dict(zip(u.tolist(), zip(a.tolist(), e.tolist(), strict=True), strict=True)) for a, e, u in (substring_dedup.passages(t, known) for t in texts)]
+        units = [dict(zip(u.tolist(), zip(a.tolist(), e.tolist(), strict=True), strict=True)) for a, e, u in (substring_dedup.scan([t], known)[1][1:] for t in texts)]
         both = units[0].keys() & units[1].keys()
         assert both
         for u in both:
@@ -255,6 +255,20 @@ def test_passages_depend_on_content_alone():
             assert a == b and len(a) == 20
 
 
+def test_scan_of_several_texts_is_that_of_each():
+    rng = random.Random(19)
+    known = jaccard.WordHash()
+    texts = [f"{sentence(rng, rng.randint(0, 90))}\n \t{sentence(rng, rng.randint(0, 90))}\n".encode() for _ in range(40)] + [b"", b" \n\n", b"one", ("w " * 300).encode()]
+    for kind in (0, 1):
+        whole = substring_dedup.scan(texts, known)[kind]
+        for k, t in enumerate(texts):
+            alone = substring_dedup.scan([t], known)[kind]
+            mine = whole[0] == k
+            assert all((x[mine] == y).all() for x, y in zip(whole[1:], alone[1:], strict=True))
+            if kind == 0:
+                assert [t[a:e].split() for a, e in zip(*(x.tolist() for x in alone[1:3]), strict=True)] == [x.split() for x in t.split(b"\n") if len(x.split()) >= 8]
+
+
 def test_near_units_equal_brute_force(spark):
     """Random paragraphs of 8 to 30 words, with words added, dropped and changed: classes against all pairs."""
     rng = random.Random(23)
