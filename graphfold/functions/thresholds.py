@@ -40,6 +40,7 @@ class ThresholdState:
             value = min(geom, (lower_quantile(self.previous, q) if self.previous else geom) * self.scale)
         return min(max(value, self.min_low), self.high)
 
+    # fixed values below: 0.5 and 2 times the target rate, factors 0.85 and 1.05, scales from 0.25 to 4
     def end(self, samples: list[float], tested: int, accepted: int) -> None:
         if self.policy == "adaptive" and tested:
             rate = accepted / tested

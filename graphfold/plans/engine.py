@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from graphfold.checkpoint import materialise
+from graphfold.checkpoint import discard, materialise
 from graphfold.functions.hashing import partition_hash
 from graphfold.functions.thresholds import ThresholdState
 from graphfold.operators import candidates, commit, divide, encode, gain, matching, quotient
 from graphfold.sources.graphs import node_domain
+from graphfold.sources.sinks import AUDIT_COLUMNS
 
 
 @dataclass(frozen=True)
@@ -79,6 +80,15 @@ class Summary:
     def profile_frame(self) -> DataFrame:
         return self.partition.sparkSession.createDataFrame([Row(**p) for p in self.profile])
 
+    def audit_frame(self, dataset: str, policy: str) -> DataFrame:
+        """One row per commit batch, in the columns of the audit file."""
+        rows = [[{"dataset": dataset, "commit_policy": policy, **a}[c] for c in AUDIT_COLUMNS] for a in self.audit]
+        return self.partition.sparkSession.createDataFrame(rows, "dataset string, commit_policy string, batch_id long, batch_size long, partition_exact_cost long, cumulative_realized_gain long, rejected_pair_count long")
+
+    def result_frame(self, dataset: str, cfg: SummarizeConfig) -> DataFrame:
+        """One row: the data set, all settings and all metrics."""
+        return self.partition.sparkSession.createDataFrame([Row(dataset=dataset, **asdict(cfg), **self.metrics, seconds=sum(p["seconds"] for p in self.profile))])
+
 
 def propose(edges: DataFrame, state: commit.State, cfg: SummarizeConfig, t: int) -> DataFrame:
     """(group, a_idx, b_idx, a, b) of one iteration; in-group search adds the joint costs that it has met."""
@@ -129,21 +139,27 @@ def summarize(edges: DataFrame, cfg: SummarizeConfig | None = None) -> Summary:
         # proposals of an index may cross groups, so pairs must be disjoint as a whole
         selected = materialise(matching.greedy(passed) if cfg.candidate_index == "legacy" else matching.locally_dominant(passed, []), "selected")
         merges = matching.to_merges(selected)
-        tested, n = scored.count(), selected.count()
-        accepted = passed.count() if cfg.threshold_policy == "adaptive" else n
+        tested, positive = scored.agg(F.count("*"), F.count_if(F.col("gain") > 0)).first()
+        n = selected.count()
+        accepted = passed.count() if cfg.use_threshold or cfg.threshold_policy == "adaptive" else positive
         limits.end(matching.saving_samples(scored, cfg.adaptive_sample_limit) if cfg.threshold_policy == "adaptive" else [], tested, accepted)
+        merged = n
         if n:
             if cfg.commit_policy != "g0":
                 done, log = commit.transactional(state, merges, cfg.commit_policy)
-                audit.extend({"iteration": t, **x} for x in log)
+                audit.extend({"iteration": t, **x, "partition_exact_cost": cost - x["cumulative_realized_gain"]} for x in log)
+                merged = len(done)
                 merges = spark.createDataFrame(done, "keep long, remove long") if done else merges.limit(0)
             state = commit.apply_merges(state, merges)
             if cfg.validate_quotient and not quotient.difference(state.blocks, quotient.quotient(edges, state.partition)).isEmpty():
                 raise RuntimeError("the maintained quotient graph differs from a rebuilt one")
         new = state.cost()
+        if n and cfg.commit_policy != "g0" and log[-1]["cumulative_realized_gain"] != cost - new:
+            raise RuntimeError(f"merges claim {log[-1]['cumulative_realized_gain']}, the cost fell by {cost - new}")
         if cfg.commit_audit and cfg.commit_policy == "g0":
-            audit.append({"iteration": t, "batch_id": 0, "batch_size": n, "cumulative_realized_gain": cost - new, "rejected_pair_count": 0})
-        profile.append({"iteration": t, "threshold": theta, "candidate_pairs": tested, "selected_pairs": n, "partition_exact_cost": new, "cost_reduction": cost - new, "seconds": time.time() - began})
+            audit.append({"iteration": t, "batch_id": 0, "batch_size": n, "cumulative_realized_gain": cost - new, "rejected_pair_count": 0, "partition_exact_cost": new})
+        discard(pairs, scored, selected)
+        profile.append({"iteration": t, "threshold": theta, "candidate_pairs": tested, "positive_pairs": positive, "accepted_pairs": accepted, "selected_pairs": n, "committed_pairs": merged, "partition_exact_cost": new, "cost_reduction": cost - new, "relative_size": new / m if m else 0.0, "seconds": time.time() - began})
         cost = new
     e = encode.encode(edges, state.partition, cfg.cost_objective)
     e = encode.Encoding(*(materialise(x, "encoding") for x in (e.members, e.P, e.Cp, e.Cm)), e.objective)

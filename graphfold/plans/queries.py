@@ -422,10 +422,10 @@ def gain_upper_bound(spark, sf_dir):
     return gain.upper_bound(s.pairs(), s.blocks, s.sizes)
 
 
-@query(f"{P}, {_ENDS} SELECT a, b, before_cost, before_cost - inn AS upper_bound FROM head WHERE before_cost > inn AND before_cost > 0 AND (before_cost - inn) / before_cost >= 0.97")
+@query(f"{P}, {_ENDS} SELECT a, b, before_cost, before_cost - inn AS upper_bound FROM head WHERE before_cost > inn AND before_cost > 0 AND (before_cost - inn) / before_cost >= 0.9965")
 def certified_pairs(spark, sf_dir):
     s = Setup(spark, sf_dir)
-    return gain.certified(s.pairs(), s.blocks, s.sizes, 0.97)
+    return gain.certified(s.pairs(), s.blocks, s.sizes, 0.9965)
 
 
 # --- candidates ---------------------------------------------------------------------------------------------------------

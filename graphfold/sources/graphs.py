@@ -18,12 +18,12 @@ def read_edge_list(spark: SparkSession, path: str, duplicates: str = "raise") ->
     parts = F.split(F.trim(F.regexp_replace("value", r"[ \t\r]+", " ")), " ")
     ids = lines.select("value", F.try_element_at(parts, F.lit(1)).try_cast("long").alias("x"), F.try_element_at(parts, F.lit(2)).try_cast("long").alias("y"))
     wrong = F.col("x").isNull() | F.col("y").isNull() | (F.least("x", "y") < 0) | (F.greatest("x", "y") > MAX_ID) | (F.col("x") == F.col("y"))
-    bad = ids.where(wrong).limit(1).collect()
-    if bad:
-        raise ValueError(f"invalid edge line: {bad[0]['value']!r}")
-    edges = ids.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-    if edges.isEmpty():
+    n, bad = ids.agg(F.count("*"), F.min(F.when(wrong, F.col("value")))).first()  # one pass for both
+    if bad is not None:
+        raise ValueError(f"invalid edge line: {bad!r}")
+    if not n:
         raise ValueError("the graph has no edges")
+    edges = ids.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
     if duplicates == "drop":
         return edges.distinct()
     twice = edges.groupBy("u", "v").count().where("count > 1").limit(1).collect()

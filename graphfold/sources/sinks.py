@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphfold.operators.encode import Encoding
 
+#: Columns of the commit audit file (fixed values).
 AUDIT_COLUMNS = ("dataset", "commit_policy", "batch_id", "batch_size", "partition_exact_cost", "cumulative_realized_gain", "rejected_pair_count")
 
 

@@ -10,6 +10,7 @@ SF = "/root/testdata/sf0.001"
 PICKED = (
     "edges_supp_strong", "edges_cust_supp", "node_domain_degree", "split_oversized", "ordered_chunks", "quotient_shape", "block_cost", "partition_cost", "certified_pairs", "gain_mags", "gain_legacy", "topk_candidates",
     "proposals_two_hop", "residual_scores", "saving_quantile", "mutual_best", "bulk_merge_blocks", "encode_mags_cm", "encode_legacy_cp", "compression_metrics_legacy", "reconstruct_difference",
+    "divide_groups", "greedy_matching", "neighbour_proposals", "proxy_shared", "threshold_schedule", "fallback_ranks",
 )
 
 
@@ -25,7 +26,7 @@ def test_query_matches_sql(spark, name):
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     key = lambda d: sorted(map(tuple, d[cols].astype(str).to_numpy().tolist()))
-    assert key(got) == key(want)
+    assert key(got) == key(want) and len(got)
 
 
 def test_entry_points_import_and_agree():
