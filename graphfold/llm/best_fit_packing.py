@@ -103,8 +103,11 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1)
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, rows_per_rank: int = 2_000) -> DataFrame:
-    """Add sequence_id and offset to a *materialised* table of pieces; any further columns stay."""
+    """Add sequence_id and offset to a *materialised* table of pieces; any further columns stay. A column that is named like one of the plan's raises ValueError."""
     spark = pieces.sparkSession
+    clash = {"sequence_id", "offset", "_salt", "_n", "_r", "_base", "_rank"} & set(pieces.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are taken")
     by_length = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     counts = {r["length"]: r["count"] for r in by_length}
     table_ = spark.sparkContext.broadcast(slots(plan(counts, capacity)))  # bounded by the capacity

@@ -156,11 +156,11 @@ def join_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> Da
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """The documents, all columns, with one row of each class; texts without words all stay."""
-    classes = materialise(text_classes(docs, threshold, size).select(F.col("id").alias("_id"), "class_id", "class_text"), "classes")
-    rows = docs.withColumn("_id", F.xxhash64("text")).join(classes.withColumnsRenamed({"class_id": "_class_id", "class_text": "_class_text"}), "_id", "left")
-    free = rows.where("_class_text is null").select(*docs.columns)
-    named = rows.where("_class_text is not null and (doc_id <=> _class_id)").dropDuplicates(["_class_text"]).select(*docs.columns)
+    """The documents, all columns whatever their names, with one row of each class (the one with the least doc_id; of equal rows any); texts without words all stay."""
+    classes = materialise(text_classes(docs, threshold, size).select("id", "class_id", "class_text"), "classes")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.xxhash64("text").alias("id")).join(classes, "id", "left")
+    free = rows.where("class_text is null").select("doc.*")
+    named = rows.where("class_text is not null and (doc.doc_id <=> class_id)").dropDuplicates(["class_text"]).select("doc.*")
     return free.unionByName(named)
 
 

@@ -188,17 +188,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Boost
     return Booster().fit(np.array(got.x.tolist()), (got.y.to_numpy() > 0).astype(float), list(FEATURES.values()))
 
 
+def judge(texts: list[bytes | None], model: Booster | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Base counts, whether the base rule fails, and the probability of a good text (1 without a model); a probability at the threshold is kept."""
+    got = [statistics(t) for t in texts]
+    base = np.array([g[0] for g in got], np.int64)
+    failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
+    return base, failed, model.predict(np.array([g[1] for g in got])) if model is not None else np.ones(len(got))
+
+
 def apply_rules(docs: DataFrame, model: Booster | None, threshold: float = 0.5) -> DataFrame:
     """Per document: doc_id, the base counts, base_failed, kept and the score; one pass, no shuffle."""
 
     def run(batches):
         for b in batches:
-            got = [statistics(t) for t in _binary(b)]
-            if not got:
+            if not b.num_rows:
                 continue
-            base = np.array([g[0] for g in got], np.int64)
-            failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
-            p = model.predict(np.array([g[1] for g in got])) if model is not None else np.ones(len(got))
+            base, failed, p = judge(_binary(b), model)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), **{k: base[:, i] for i, k in enumerate(BASE)}, "base_failed": failed, "kept": ~failed & (p >= threshold), "score": p})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")
@@ -210,12 +215,9 @@ def filter_documents(docs: DataFrame, model: Booster | None, threshold: float =
 
     def run(batches):
         for b in batches:
-            got = [statistics(t) for t in _binary(b)]
-            if not got:
+            if not b.num_rows:
                 continue
-            base = np.array([g[0] for g in got], np.int64)
-            failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
-            p = model.predict(np.array([g[1] for g in got])) if model is not None else np.ones(len(got))
+            base, failed, p = judge(_binary(b), model)
             yield b.filter(pa.array(~failed & (p >= threshold)))
 
     return docs.mapInArrow(run, schema)

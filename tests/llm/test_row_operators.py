@@ -219,6 +219,14 @@ def test_widely_copied_values_are_examples(spark):
     assert (got[9].n_live, got[9].n_example) == (1, 0)
 
 
+def test_clashing_columns_of_redaction_and_packing(spark, docs):
+    odd = docs.withColumns({c: F.lit(c) for c in ("_new", "new", "doc", "uid", "spans", "value", "changed")})
+    got = secret_scan.redact(odd)
+    assert got.columns == odd.columns and {tuple(r)[5:] for r in got.collect()} == {("_new", "new", "doc", "uid", "spans", "value", "changed")}
+    with pytest.raises(ValueError, match="taken"):
+        best_fit_packing.pack(spark.createDataFrame([], "doc_id long, piece int, start long, length long, ids_crc32 long, offset long"))
+
+
 def test_redaction(docs):
     got = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
     assert got[4].text == "[secret] Password:'xy' [secret]\" é[secret] secret=token:abcdefgh"
