@@ -107,7 +107,8 @@ def chosen_paths(sketches: DataFrame, threshold: float = 0.8, recall: float = 0.
     tie, sure = threshold - 0.3, threshold - 0.1
     ties, force = [], []
     for d in range(depth + 1):
-        n = level.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
+        # written before the join, which can thus split the rows of a frequent bucket
+        n = materialise(level.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"), "buckets")
         rows = materialise(level.join(n, "path").select("path", "id", "n", "leader"), "buckets")
         force.append(rows.where(F.col("n") <= small).select("path", "id"))
         large = rows.where(F.col("n") > small)
