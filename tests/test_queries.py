@@ -13,6 +13,9 @@ PICKED = (
     "divide_groups", "greedy_matching", "neighbour_proposals", "proxy_shared", "threshold_schedule", "fallback_ranks",
 )
 
+#: Their bounds suit larger tables: no row of the smallest ones passes.
+MAY_BE_EMPTY = ("certified_pairs", "encode_mags_cm")
+
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 @pytest.mark.parametrize("name", PICKED)
@@ -26,7 +29,8 @@ def test_query_matches_sql(spark, name):
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     key = lambda d: sorted(map(tuple, d[cols].astype(str).to_numpy().tolist()))
-    assert key(got) == key(want) and len(got)
+    assert key(got) == key(want)
+    assert len(got) or name in MAY_BE_EMPTY
 
 
 def test_entry_points_import_and_agree():
