@@ -136,6 +136,58 @@ def similar_matrix(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return out
 
 
+def bands(threshold: float) -> tuple[np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
+    """Upper edges of bands of Jaccard distance to a leader, and the ordered band pairs whose members are all similar, and that must be compared.
+
+    The distance is a metric: two texts at distances p and q from a leader are at most p + q and at least |p - q| apart. The pairs in neither list hold no similar texts.
+    """
+    reach = 1 - threshold
+    edges = np.array([x for x in (0, reach / 4, reach / 2, 3 * reach / 4, reach, 2 * reach, 3.5 * reach) if x < 1] + [1.0])
+    low = np.concatenate([[0.0], edges[:-1]])
+    pairs = [(i, j) for i in range(len(edges)) for j in range(len(edges))]
+    sure = [(i, j) for i, j in pairs if edges[i] + edges[j] <= reach + 1e-12]
+    apart = {(i, j) for i, j in pairs if low[max(i, j)] - edges[min(i, j)] >= reach - 1e-12}
+    return edges, sure, [p for p in pairs if p not in sure and p not in apart]
+
+
+def _by_leader(units: DataFrame, clusters: DataFrame, n: DataFrame, threshold: float, size: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Superclusters of more than ``block`` texts: (id, cluster, own, o) with the blocks that a text must be compared with, and
+    (id, class, links) of the links that its band alone proves, by the members' distances to the supercluster's least id."""
+    edges, sure, compare = bands(threshold)
+    leaders = materialise(units.join(n.where(F.col("n") > block).select(F.col("leader").alias("id"), "cluster"), "id").select("cluster", F.col("id").alias("leader"), F.col("text").alias("leader_text")), "leaders")
+    members = units.join(clusters, "id").join(leaders, "cluster")
+
+    def run(batches):
+        known, last, lead = WordHash(), None, None
+        for b in batches:
+            got = []
+            for c, t, l in zip(b.column("cluster").to_pylist(), b.column("text").to_pylist(), b.column("leader_text").to_pylist(), strict=True):
+                if c != last:
+                    last, lead = c, shingles(l, known, size)
+                own = shingles(t, known, size)
+                shared = len(np.intersect1d(own, lead, assume_unique=True))
+                got.append(1 - shared / max(1, len(own) + len(lead) - shared))
+            yield pa.RecordBatch.from_pydict({**{k: b.column(k) for k in ("id", "copies", "cluster", "leader")}, "band": pa.array(np.searchsorted(edges, np.array(got) - 1e-12), pa.int32())})
+
+    placed = materialise(members.select("id", F.col("copies").cast("long").alias("copies"), "cluster", "leader", "text", "leader_text").mapInArrow(run, f"id {dict(units.dtypes)['id']}, copies long, cluster {dict(clusters.dtypes)['cluster']}, leader {dict(units.dtypes)['id']}, band int"), "bands")
+    # one row for each band of a supercluster
+    count = materialise(placed.groupBy("cluster", "band").agg(F.count("*").alias("n"), F.sum("copies").alias("c")).withColumn("nb", F.ceil(F.col("n") / block).cast("long")), "bands")
+    other = count.select("cluster", F.col("band").alias("band2"), F.col("nb").alias("nb2"), F.col("c").alias("c2"))
+    pair = lambda these: F.array(*(F.lit(i * len(edges) + j) for i, j in these))
+    met = count.select("cluster", "band", "nb").join(other, "cluster").withColumn("p", F.col("band") * len(edges) + F.col("band2"))
+    name = lambda band, k: F.shiftleft(F.col(band).cast("long"), 40) + k
+    blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb2") - 1), lambda k: name("band2", k))
+    band = met.groupBy("cluster", "band").agg(
+        F.first("nb").alias("nb"),
+        F.flatten(F.collect_list(F.when(F.array_contains(pair(compare), F.col("p")), blocks))).alias("o"),
+        F.coalesce(F.sum(F.when(F.array_contains(pair(sure), F.col("p")), F.col("c2"))), F.lit(0)).alias("c"),
+        F.max(F.array_contains(pair(sure), F.col("p")) & (F.col("band") == F.col("band2"))).alias("self"),
+    )
+    rows = placed.join(materialise(band, "bands"), ["cluster", "band"])
+    proved = rows.select("id", F.col("leader").alias("class"), (F.col("c") - F.when(F.col("self"), F.col("copies")).otherwise(0)).alias("links")).where("links > 0")
+    return rows.select("id", "cluster", name("band", F.pmod(F.xxhash64("id"), F.col("nb"))).alias("own"), "o"), proved
+
+
 def exact_classes(units: DataFrame, clusters: DataFrame, threshold: float = 0.8, size: int = 5, block: int = 300) -> DataFrame:
     """Verify inside superclusters.
 
@@ -143,13 +195,15 @@ def exact_classes(units: DataFrame, clusters: DataFrame, threshold: float = 0.8,
     has no links). Returns (id, class, links): the least id of the text's class, and the copies of other texts that are similar. Only texts
     with a link are returned.
     """
-    n = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    # a supercluster of more than `block` texts is cut into blocks, and each pair of blocks is a group
-    sized = clusters.join(n, "cluster").withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    other = F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
     units = units.withColumn("text", F.col("text").cast("binary"))
-    placed = units.join(sized.select("id", "cluster", "nb", "own"), "id").select("id", "copies", "text", "cluster", "nb", "own", F.explode(other).alias("o"))
-    keyed = placed.select("id", "copies", "text", "nb", "own", F.xxhash64("cluster", F.least("own", "o"), F.greatest("own", "o")).alias("g"), (F.col("own") == F.col("o")).alias("diagonal"))
+    n = materialise(clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("leader")), "sizes")
+    sized = clusters.join(n.where(F.col("n") <= block), "cluster").select("id", "cluster", F.lit(0).cast("long").alias("own"), F.array(F.lit(0).cast("long")).alias("o"), F.lit(True).alias("whole"))
+    proved = None
+    if not n.where(F.col("n") > block).isEmpty():
+        compared, proved = _by_leader(units, clusters, n, threshold, size, block)
+        sized = sized.unionByName(compared.withColumn("whole", F.lit(False)))
+    placed = units.join(sized, "id").select("id", "copies", "text", "cluster", "whole", "own", F.explode("o").alias("o"))
+    keyed = placed.select("id", "copies", "text", "whole", "own", F.xxhash64("cluster", F.least("own", "o"), F.greatest("own", "o")).alias("g"), (F.col("own") == F.col("o")).alias("diagonal"))
 
     def run(batches):
         known = WordHash()
@@ -162,23 +216,23 @@ def exact_classes(units: DataFrame, clusters: DataFrame, threshold: float = 0.8,
                 ids, copies, own = part["id"].to_numpy(), part["copies"].to_numpy(), part["own"].to_numpy()
                 sets = [shingles(t, known, size) for t in part["text"]]
                 near = similar_matrix(sets, threshold)
+                if not part["diagonal"].all():
+                    near &= own[:, None] != own[None, :]  # links inside a block belong to the block's own group, or are proved
                 label = local_classes(near)
-                # links inside a block are counted in the block's own group only
-                count = near if part["diagonal"].all() else near & (own[:, None] != own[None, :])
-                links = (count * copies[None, :]).sum(1)
+                links = (near * copies[None, :]).sum(1)
                 linked = near.any(1)
                 least = np.full(len(part), ids.max())
                 np.minimum.at(least, label, ids)
-                out.append(pd.DataFrame({"id": ids, "class": least[label], "links": links, "alone": (part["nb"] == 1).to_numpy()})[linked])
+                out.append(pd.DataFrame({"id": ids, "class": least[label], "links": links, "alone": part["whole"].to_numpy()})[linked])
             if out:
                 yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
 
     schema = "id long, class long, links long, alone boolean"
     got = materialise(keyed.repartition("g").sortWithinPartitions("g").mapInArrow(run, schema), "verified")
     alone = got.where("alone").select("id", "class", "links")
-    across = got.where("not alone")
-    if across.isEmpty():
+    if proved is None:
         return alone
+    across = materialise(got.where("not alone").select("id", "class", "links").unionByName(proved), "verified")
     joined = components(across.select(F.col("id").alias("a"), F.col("class").alias("b")))
     links = across.groupBy("id").agg(F.sum("links").alias("links"))
     return alone.unionByName(links.join(joined, links["id"] == joined["node"]).select("id", F.col("component").alias("class"), "links"))

@@ -138,23 +138,40 @@ def test_clashing_columns_stay(spark, docs):
     assert set(kept.select("class_id").distinct().toPandas()["class_id"]) == {"class_id"}
 
 
-def test_blocks_of_large_groups_lose_no_link(spark):
-    rng = random.Random(1)
+@pytest.mark.parametrize("changes", [1, 2, 6])
+def test_blocks_of_large_groups_lose_no_link(spark, changes):
+    """Every text in the leader's core, pairs about the threshold, and bands from 0 to 1; copies of shingle sets and texts apart from all."""
+    rng = random.Random(changes)
     base = [sentence(rng, 60).split() for _ in range(2)]
     texts = []
     for i in range(40):
         w = list(base[i % 2])
-        w[rng.randrange(60)] = rng.choice(VOCAB)
-        texts.append(" ".join(w))
+        for _ in range(rng.randint(0, changes)):
+            w[rng.randrange(60)] = rng.choice(VOCAB)
+        texts.append(" ".join(w) + "\n" * i)
+    texts += [sentence(rng, 60) for _ in range(3)]
+    m = len(texts)
     units = spark.createDataFrame([(i, 1 + i % 3, t) for i, t in enumerate(texts)], "id long, copies long, text string")
-    clusters = spark.createDataFrame([(i, 7) for i in range(40)], "id long, cluster long")
+    clusters = spark.createDataFrame([(i, 7) for i in range(m)], "id long, cluster long")
     small = {r.id: (r["class"], r.links) for r in jaccard.exact_classes(units, clusters, block=6).collect()}
     large = {r.id: (r["class"], r.links) for r in jaccard.exact_classes(units, clusters).collect()}
     sets = [shingle_set(t) for t in texts]
-    want = {i: sum(1 + j % 3 for j in range(40) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(40)}
+    want = {i: sum(1 + j % 3 for j in range(m) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(m)}
     assert small == large and {i: n for i, (_, n) in small.items()} == {i: n for i, n in want.items() if n}
 
 
+def test_bands_of_distances_hold_what_they_say():
+    rng = random.Random(6)
+    for threshold in (0.5, 0.8, 0.9):
+        edges, sure, compare = jaccard.bands(threshold)
+        for _ in range(3000):
+            x, y, lead = (frozenset(k for k in range(12) if rng.random() < 0.85) | {12} for _ in range(3))
+            far = lambda a, b: 1 - len(a & b) / len(a | b)
+            pair = tuple(int(np.searchsorted(edges, far(a, lead) - 1e-12)) for a in (x, y))
+            similar = len(x & y) >= threshold * len(x | y) - 1e-9
+            assert pair in compare or similar == (pair in sure)
+
+
 def brute_windows(rows, length=200):
     data = [(r[0], (r[1] or "").encode()) for r in rows]
     seen = Counter(t[i : i + length] for _, t in data for i in range(len(t) - length + 1))
