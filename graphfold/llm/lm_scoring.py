@@ -4,11 +4,12 @@ Texts are tokenised once into blocks of bounded size: a row with the block's own
 numbers. Counting sends one row per block and distinct token through the shuffle, not one per occurrence, and each count returns to the
 blocks that hold the token. The same counts give the base score, the model's units and its open vocabulary.
 
-The model: the ``units`` - 1 most frequent training tokens are units of their own, all others share unit 0. Two context units with diagonal position weights
+The model is class-factored: the most frequent training tokens are units of their own, and every other token belongs to the class of its last bytes; the
+classes with most of the remaining training tokens are units, and what is left is unit 0. Two context units with diagonal position weights
 predict the next unit; training is NCE in numpy on every training text: each task starts from the same
 parameters, walks its blocks with AdaGrad, and the results are averaged by token counts in a tree of partial sums. At scoring, a matrix product over all units
-gives the normaliser of every distinct context, so unit probabilities are exact; a token of unit 0 is then spelled out by its smoothed share
-of the rest, so that the model is a distribution over all tokens: one entry stands for all unseen tokens, as in the base.
+gives the normaliser of every distinct context, so unit probabilities are exact; a token of a class is then told by its smoothed share
+of the class, so that the model is a distribution over all tokens of the corpus, however many: in each class one entry stands for all its unseen tokens.
 
 Defined cases: null text is empty and consists of the end token; repeated rows are scored (and learned from) each; an empty table gives an empty
 result; without training texts all counts are 0 and base_score is 0 per token; a null doc_id counts as the text '' when the fold is taken.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from graphfold.llm.common import materialise, table
 
 BLOCK_BYTES = 16 << 20
+SUFFIX = 3  # bytes of a token's end that name its class
 BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, vocab array<binary>, train array<long>, stream binary"
 
 
@@ -167,19 +169,27 @@ def _contexts(unit: np.ndarray, lengths: np.ndarray, edge: int) -> tuple[np.ndar
     return h1, h2
 
 
-def _units(b: pa.RecordBatch, i: int, top: pa.Array) -> np.ndarray:
-    """Unit of every local token of a block: 0 for all that are not in ``top``."""
-    return (pc.fill_null(pc.index_in(b.column("vocab")[i].values, value_set=top), -1).to_numpy(zero_copy_only=False) + 1).astype(np.int32)
+def _units(b: pa.RecordBatch, i: int, names: tuple[pa.Array, pa.Array]) -> np.ndarray:
+    """Unit of every local token of a block: its own, or its class's, or 0."""
+    words, classes = names
+    place = lambda x, of: pc.fill_null(pc.index_in(x, value_set=of), -1).to_numpy(zero_copy_only=False)
+    vocab = b.column("vocab")[i].values
+    word, cls = place(vocab, words), place(pc.binary_slice(vocab, -SUFFIX), classes)
+    return np.where(word >= 0, word + 1, np.where(cls >= 0, cls + 1 + len(words), 0)).astype(np.int32)
 
 
-def train(blocks: DataFrame, top: list[bytes], start: LogBilinear, edge: int) -> LogBilinear:
+def _names(names: tuple[list[bytes], list[bytes]]) -> tuple[pa.Array, pa.Array]:
+    return pa.array(names[0], pa.binary()), pa.array(names[1], pa.binary())
+
+
+def train(blocks: DataFrame, top: tuple[list[bytes], list[bytes]], start: LogBilinear, edge: int) -> LogBilinear:
     """Every task trains on all its training texts from the same start; the mean, weighted by tokens, is the model."""
     spark = blocks.sparkSession
     begin = spark.sparkContext.broadcast((top, start))  # bounded by the number of units
 
     def local(batches):
         names, first = begin.value
-        names = pa.array(names, pa.binary())
+        names = _names(names)
         model = LogBilinear(first.unigram, first.dim)
         model.use(first.theta.copy())
         squares, tokens = np.full(model.size, 1e-6, np.float32), 0
@@ -218,25 +228,43 @@ def train(blocks: DataFrame, top: list[bytes], start: LogBilinear, edge: int) ->
     return start
 
 
-def score(docs: DataFrame, held_out, units: int = 1024, dim: int = 32) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
+def choose_units(once: DataFrame, units: int, words: int) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
+    """(words, classes, training tokens, distinct training tokens) of the units, from ``once(token, c)``; unit 0 comes first in both arrays.
+
+    All training tokens are in one unit each. At most ``units`` rows reach the driver.
+    """
+    spark, seen = once.sparkSession, once.where("c > 0").select("token", "c")
+    n, v = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    best = seen.orderBy(F.desc("c"), "token").limit(words).collect()
+    own = spark.createDataFrame([(bytes(r.token),) for r in best], "token binary")  # at most ``words`` rows
+    other = seen.join(F.broadcast(own), "token", "left_anti")
+    of = other.groupBy(F.substring("token", -SUFFIX, SUFFIX).alias("ending")).agg(F.sum("c").alias("c"), F.count("*").alias("v"))
+    classes = of.orderBy(F.desc("c"), "ending").limit(units - 1 - words).collect()
+    c, k = np.array([0] + [r.c for r in best + classes], np.int64), np.array([0] + [1] * len(best) + [r.v for r in classes], np.int64)
+    c[0], k[0] = n - c.sum(), v - k.sum()
+    return [bytes(r.token) for r in best], [bytes(r.ending) for r in classes], c, k
+
+
+def score(docs: DataFrame, held_out, units: int = 1024, words: int | None = None, dim: int = 32) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10). ``words`` of the units are tokens, a sixteenth if not given."""
     spark = docs.sparkSession
     blocks = blocks_of(docs, held_out)
     counts = token_counts(blocks)
     once = counts.where("token is not null")
-    n, v = once.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    best = once.where("c > 0").orderBy(F.desc("c"), "token").limit(units - 1).select("token", "c").collect()
-    top, c_top = [bytes(r.token) for r in best], np.array([r.c for r in best], float)
-    n_rest, v_rest = n - int(c_top.sum()), v - len(top)
-    z_base, z_rest = n + 0.1 * (v + 1), n_rest + 0.1 * (v_rest + 1)
-    unigram = np.concatenate([[z_rest], c_top + 0.1])
+    top, classes, mass, distinct = choose_units(once, units, max(1, units // 16) if words is None else words)
+    n, v = int(mass.sum()), int(distinct.sum())
+    single = np.zeros(len(mass), bool)
+    single[1 : len(top) + 1] = True
+    z_base, z = n + 0.1 * (v + 1), mass + 0.1 * (distinct + ~single)
+    unigram = z
     edge = top.index(b"") + 1 if b"" in top else 0
-    model = train(blocks, top, LogBilinear(unigram / unigram.sum(), dim), edge)
-    shared = spark.sparkContext.broadcast((top, model))
+    names = top, classes
+    model = train(blocks, names, LogBilinear(unigram / unigram.sum(), dim), edge)
+    shared = spark.sparkContext.broadcast((names, model))
 
     def by_model(batches):
         names, m = shared.value
-        names = pa.array(names, pa.binary())
+        names = _names(names)
         for b in batches:
             for i in range(b.num_rows):
                 stream, lengths = _unstream(b, i)
@@ -244,7 +272,7 @@ def score(docs: DataFrame, held_out, units: int = 1024, dim: int = 32) -> DataFr
                 unit = of[stream]
                 lp = m.log_probs(*_contexts(unit, lengths, edge), unit) / np.log(10)
                 start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                yield pa.RecordBatch.from_pydict({"block": [b.column("block")[i].as_py()], "doc_ids": b.column("doc_ids").slice(i, 1), "held": b.column("held").slice(i, 1), "lengths": b.column("lengths").slice(i, 1), "stream": b.column("stream").slice(i, 1), "rest": [np.packbits(of == 0).tobytes()], "model": pa.array([np.add.reduceat(lp, start)], pa.list_(pa.float64()))})
+                yield pa.RecordBatch.from_pydict({"block": [b.column("block")[i].as_py()], "doc_ids": b.column("doc_ids").slice(i, 1), "held": b.column("held").slice(i, 1), "lengths": b.column("lengths").slice(i, 1), "stream": b.column("stream").slice(i, 1), "unit": [zstandard.compress(of.astype("<i2" if units < 1 << 15 else "<i4").tobytes(), 1)], "model": pa.array([np.add.reduceat(lp, start)], pa.list_(pa.float64()))})
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -254,16 +282,16 @@ def score(docs: DataFrame, held_out, units: int = 1024, dim: int = 32) -> DataFr
                 local = right.column("local").to_numpy()
                 c = np.zeros(len(local), np.int64)
                 c[local] = right.column("c").to_numpy()
-                rest = np.unpackbits(np.frombuffer(b.column("rest")[i].as_py(), np.uint8), count=len(c)).astype(bool)
+                unit = np.frombuffer(zstandard.decompress(b.column("unit")[i].as_py()), "<i2" if units < 1 << 15 else "<i4")
                 start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 total = lambda x: np.add.reduceat(x[stream], start)  # noqa: B023, E731
-                spelled = np.where(rest, np.log10((c + 0.1) / z_rest), 0.0)
+                spelled = np.where(single[unit], 0.0, np.log10((c + 0.1) / z[unit]))
                 k = len(lengths)
                 out.append(pa.table({"doc_id": b.column("doc_ids")[i].values, "held_out": b.column("held")[i].values, "n_tokens": lengths, "n_known": total((c > 0).astype(np.int64)), "train_tokens": np.full(k, n, np.int64), "base_score": total(np.log10((c + 0.1) / z_base)), "score": b.column("model")[i].values.to_numpy(zero_copy_only=False) + total(spelled)}))
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
 
-    left = blocks.mapInArrow(by_model, "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, stream binary, rest binary, model array<double>")
+    left = blocks.mapInArrow(by_model, "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, stream binary, unit binary, model array<double>")
     return left.groupBy("block").cogroup(counts.select("block", "local", "c").groupBy("block")).applyInArrow(join, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

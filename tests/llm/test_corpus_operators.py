@@ -512,6 +512,45 @@ def test_lm_scores(spark, docs, empty):
     assert {r.train_tokens for r in nothing} == {0} and all(r.base_score == 0 for r in nothing)
 
 
+@pytest.mark.parametrize("units, words", [(40, 6), (40, 39), (5, 1), (400, None)])
+def test_lm_score_is_a_distribution_over_all_tokens(spark, docs, monkeypatch, units, words):
+    """Every score again in plain Python from the trained parameters; all tokens and the classes' unseen entries sum to 1."""
+    kept, train = [], lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda blocks, names, start, edge: kept.append((names, edge, train(blocks, names, start, edge))) or kept[0][2])
+    got = Counter((r.doc_id, round(r.score, 2)) for r in lm_scoring.score(docs, held(), units=units, words=words, dim=4).collect())
+    (names, edge, m), out = kept[0], lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    toks = [(d, [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())] + [b""]) for d, t, *_ in ROWS]
+    c = Counter(w for d, t in toks if not out(d) for w in t)
+    unit = lambda w: names[0].index(w) + 1 if w in names[0] else names[1].index(w[-3:]) + 1 + len(names[0]) if w[-3:] in names[1] else 0
+    of = {w: unit(w) for _, t in toks for w in t}
+    z = np.array([0.0 if 1 <= u <= len(names[0]) else 0.1 for u in range(m.v)])
+    for w, n in c.items():
+        z[of[w]] += n + 0.1
+    R, Q, C, b = (x.astype(float) for x in (m.R, m.Q, m.C, m.b))
+
+    def units_given(h1, h2):
+        x = Q @ (R[h1] * C[0] + R[h2] * C[1]) + b
+        return np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    known = {}
+    want = Counter()
+    for d, t in toks:
+        h, total = [edge, edge] + [of[w] for w in t], 0.0
+        for i, w in enumerate(t):
+            key = h[i + 1], h[i]
+            if key not in known:
+                known[key] = units_given(*key)
+            u = of[w]
+            total += math.log10(known[key][u] * (1 if 1 <= u <= len(names[0]) else (c[w] + 0.1) / z[u]))
+        want[d, round(total, 2)] += 1
+    off = lambda x: sorted(((str(d), s) for (d, s), n in x.items() for _ in range(n)))
+    assert [d for d, _ in off(got)] == [d for d, _ in off(want)] and np.allclose([s for _, s in off(got)], [s for _, s in off(want)], rtol=1e-4, atol=0.05)
+    p = next(iter(known.values()))
+    seen = sum(p[of[w]] * (1 if 1 <= of[w] <= len(names[0]) else (n + 0.1) / z[of[w]]) for w, n in c.items())
+    unseen = sum(p[u] * 0.1 / z[u] for u in range(m.v) if not 1 <= u <= len(names[0]))
+    assert abs(seen + unseen - 1) < 1e-6
+
+
 def test_log_bilinear_model_is_normalised_and_learns():
     rng = np.random.default_rng(0)
     v = 12
