@@ -9,7 +9,8 @@ within the radius. Candidates are verified by exact weighted Jaccard similarity
 Windows that hold no shingle of any item have similarity 0 with all of them and are not formed. This is lossless: what is left are the stretches around shared shingles.
 
 The index of the items is sent to all tasks while the benchmark has at most ``max_items`` items; beyond, the
-items are dealt into parts of that size and the documents are read once for each part. Item frequencies and the number of items are those of the
+items are dealt into parts of that size and the documents are read once for each part; a part's result is written and its index dropped before the
+next one is sent, so at most one part's index is held anywhere. Item frequencies and the number of items are those of the
 whole benchmark in every part, so the parts change no weight, fingerprint or result. Defined cases: null text matches nothing; an item of fewer than five words is one shingle of all its
 words; an item without words is ignored; equal items are reported each; repeated rows are reported each; empty tables give an empty result.
 """
@@ -18,13 +19,14 @@ from __future__ import annotations
 
 import itertools
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import table
+from graphfold.llm.common import discard, materialise, table
 from graphfold.llm.jaccard import WordHash, mix, shingle_hashes
 
 STRIP = b".,;:!?\"'()[]{}<>|*#-_`"
@@ -163,8 +165,11 @@ def shingle_hashes_of(words: list[bytes], known: WordHash, size: int) -> np.ndar
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, max_items: int = 1_000) -> DataFrame:
     """(doc_id, item_id, start, n_words, hamming, similarity): one row per document and item that it holds."""
     out = None
-    for index in _indexes(docs.sparkSession, benchmark, max_items):
+    for index, more in _indexes(docs.sparkSession, benchmark, max_items):
         got = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_finder(index, threshold), MATCH)
+        if more:  # written, so that the next part's index can take this one's place
+            got = materialise(got, "matches")
+            index[0].destroy()
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -183,20 +188,19 @@ def item_frequencies(items: DataFrame, size: int = 5) -> tuple[list[tuple[int, i
     return [(r.h % (1 << 64), r.c) for r in rows if r.h is not None], sum(r.c for r in rows if r.h is None)
 
 
-def _indexes(spark: SparkSession, benchmark: DataFrame, max_items: int) -> list:
-    """The items' index, sent to all tasks, in parts of about ``max_items`` items, each with the weights of the whole benchmark (sent once)."""
+def _indexes(spark: SparkSession, benchmark: DataFrame, max_items: int) -> Iterator:
+    """The items' index, sent to all tasks, in parts of about ``max_items`` items, each with the weights of the whole benchmark (sent once); one
+    part at a time, with whether there are several."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     parts = max(1, -(-items.count() // max_items))
     weights = shared_weights(*item_frequencies(items)) if parts > 1 else None
     sent = spark.sparkContext.broadcast(weights)  # bounded by the shingles that several items share
-    out = []
     for p in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) if parts > 1 else items
         index = ItemIndex([(r.item_id, r.text.encode()) for r in mine.orderBy("item_id", "text").collect()], weights=weights)
         if weights:
             index.weight = None
-        out.append((spark.sparkContext.broadcast(index), sent))
-    return out
+        yield (spark.sparkContext.broadcast(index), sent), parts > 1
 
 
 def _received(index) -> ItemIndex:
@@ -232,8 +236,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, max_ite
 
         return run
 
-    for index in _indexes(docs.sparkSession, benchmark, max_items):
+    written = None
+    for index, more in _indexes(docs.sparkSession, benchmark, max_items):
         docs = docs.mapInArrow(without(index), schema)
+        if more:
+            docs = materialise(docs, "clean")
+            index[0].destroy()
+            if written is not None:
+                discard(written)
+            written = docs
     return docs
 
 
