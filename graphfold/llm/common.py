@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from graphfold.checkpoint import discard, materialise, scratch_dir  # noqa: F401
@@ -20,29 +20,29 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Alternating large-star and small-star rounds, each written to the shared folder, so the
     work per round is linear in the edges and a hub costs one aggregated minimum plus a join that
-    AQE may split. Ends when a round changes no edge. Isolated nodes are not returned; self edges are ignored.
+    AQE may split. Ends in the round that finds nothing but stars: every greater end has one edge, and every lesser end is the
+    least of its neighbours. Isolated nodes are not returned; self edges are ignored.
     """
     cur = materialise(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-
-    def digest(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first())
-
-    seen = digest(cur)
+    n = cur.count()
     for _ in range(max_rounds):
-        if not seen[0]:
+        if not n:
             break
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # minima are written before they are joined: a hub is then one row on one side, and the join can split its rows on the other
-        low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc")
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        ends, inner, edges_left = Observation(), Observation(), Observation()
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).observe(ends, F.count_if(F.col("m") < F.col("a")).alias("n")).select("a", F.least("a", "m").alias("m")), "cc")
+        # one row for each edge of cur, so no need for distinct()
+        large = both.where("b > a").join(low, "a").observe(inner, F.count_if(F.col("m") < F.col("a")).alias("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         big = materialise(large, "cc")
+        if ends.get["n"] == n and not inner.get["n"]:
+            discard(big, low)
+            break
         least = materialise(big.groupBy("a").agg(F.min("b").alias("m")), "cc")
-        small = big.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        new = materialise(small, "cc")
+        small = big.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        new = materialise(small.observe(edges_left, F.count(F.lit(1)).alias("n")), "cc")
         discard(big, cur, low, least)
-        cur, was, seen = new, seen, digest(new)
-        if was == seen:
-            break
+        cur, n = new, edges_left.get["n"]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cur.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
