@@ -195,7 +195,8 @@ def exact_classes(units: DataFrame, clusters: DataFrame, threshold: float = 0.8,
     has no links). Returns (id, class, links): the least id of the text's class, and the copies of other texts that are similar. Only texts
     with a link are returned.
     """
-    units = units.withColumn("text", F.col("text").cast("binary"))
+    # written once: up to three plans read the texts, and of all units only those in a supercluster
+    units = materialise(units.withColumn("text", F.col("text").cast("binary")).join(clusters.select("id"), "id", "left_semi"), "members")
     n = materialise(clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("leader")), "sizes")
     sized = clusters.join(n.where(F.col("n") <= block), "cluster").select("id", "cluster", F.lit(0).cast("long").alias("own"), F.array(F.lit(0).cast("long")).alias("o"), F.lit(True).alias("whole"))
     proved = None

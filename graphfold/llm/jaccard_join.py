@@ -114,7 +114,10 @@ def chosen_paths(sketches: DataFrame, threshold: float = 0.8, recall: float = 0.
         large = rows.where(F.col("n") > small)
         if large.isEmpty():
             break
-        led = large.join(sketches.select("id", "sketch"), "id").join(sketches.select(F.col("id").alias("leader"), F.col("sketch").alias("leader_sketch")), "leader")
+        if d == 0:
+            # the rows of later levels and their leaders are among these, most often a small share of all
+            inner = materialise(sketches.select("id", "sketch").join(large.select("id"), "id", "left_semi"), "large")
+        led = large.join(inner, "id").join(inner.select(F.col("id").alias("leader"), F.col("sketch").alias("leader_sketch")), "leader")
         split = materialise(_to_leader(led), "led")
         ties.append(split.where((F.col("same") >= tie / 2) & (F.col("id") != F.col("leader"))).select(F.col("id").alias("a"), F.col("leader").alias("b")))
         left = split.where(F.col("same") < sure).select("path", "id", "same")
@@ -125,7 +128,7 @@ def chosen_paths(sketches: DataFrame, threshold: float = 0.8, recall: float = 0.
         force.append(blocks.select(F.xxhash64("path", F.lit("blocks"), F.least("own", "o"), F.greatest("own", "o")).alias("path"), "id"))
         coordinate = lambda j: F.pmod(F.xxhash64("path", F.lit(j)), F.lit(COORDINATES)).cast("int")
         down = F.array(*(F.xxhash64("path", F.lit(j), _at(coordinate(j))) for j in range(fan)))
-        level = left.where(~alike).select("path", "id").join(sketches.select("id", "sketch"), "id").select("id", F.explode(down).alias("path"))
+        level = left.where(~alike).select("path", "id").join(inner, "id").select("id", F.explode(down).alias("path"))
     every = force[0]
     for f in force[1:]:
         every = every.unionByName(f)
@@ -141,7 +144,7 @@ def text_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> Data
     sketches = sketch_texts(docs, size)
     superclusters = components(chosen_paths(sketches, threshold))
     clusters = superclusters.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    texts = docs.select(F.xxhash64("text").alias("id"), F.col("text")).groupBy("id").agg(F.first("text").alias("text"))
+    texts = docs.select(F.xxhash64("text").alias("id"), F.col("text")).join(clusters.select("id"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     units = texts.join(sketches.select("id", "copies"), "id")
     found = exact_classes(units, clusters, threshold, size)
     every = sketches.select("id", "copies", "least_doc").join(found, "id", "left").select("id", "copies", "least_doc", F.coalesce("class", "id").alias("class_text"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
