@@ -5,14 +5,16 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphfold.llm import decontamination, jaccard, jaccard_join, language_id, lm_scoring, substring_dedup, suffix_dedup
-from graphfold.llm.common import components
+from graphfold.llm.common import components, materialise, sieve, sieved
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -593,3 +595,51 @@ def test_pipeline_stages(spark, tmp_path):
     every = set(range(12)) | {20, 21, 22}
     assert left == [every, every - {20}, every - {20, 21}, every - {20, 21}, every - {20, 21}]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 13
+
+
+def test_a_sieve_loses_nothing_and_lets_few_pass(spark):
+    rng = np.random.default_rng(3)
+    given, other = (rng.integers(-(2**63), 2**63, 20_000, dtype=np.int64) for _ in range(2))
+    ids = spark.createDataFrame([(int(x),) for x in given], "id long")
+    for most, share in ((1 << 27, 0.02), (1 << 18, 0.05)):
+        passes = sieve(ids, "id", most).value
+        assert passes(given).all() and passes(other).mean() < share
+    rows = spark.createDataFrame([(int(x), "t") for x in np.concatenate([given[:500], other[:500]])], "id long, text string")
+    kept = {r.id for r in sieved(rows, ids, "id").collect()}
+    assert kept >= set(given[:500].tolist()) and len(kept) < 530
+    assert not sieve(ids.where("false"), "id").value(other).any()
+
+
+def shuffle_files(spark):
+    return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    before = shuffle_files(spark)
+    table = materialise(spark.range(5_000).groupBy((F.col("id") % 997).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and table.count() == 997
+
+
+def test_only_texts_of_superclusters_are_shuffled(spark):
+    """Of 300 paragraphs two are alike; a few others may pass the sieve."""
+    rng = random.Random(31)
+    lines = [sentence(rng, 30) for _ in range(300)]
+    lines.append(lines[7].replace(" ", " x ", 1))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    rows = substring_dedup.occurrences(docs)
+    tied = substring_dedup.ties(rows)
+    assert tied.count() == 1
+    wanted = materialise(components(tied).select(F.col("node").alias("id")), "wanted")
+    got = [bytes(r.text).decode() for r in substring_dedup.paragraph_texts(docs, rows, wanted).collect()]
+    assert {lines[7], lines[300]} <= set(got) and len(got) < 10
+    # keys are taken from the words' hashes of whole stretches: those of each paragraph alone
+    minhash, known = jaccard.MinHash(12), jaccard.WordHash()
+    alone = {substring_dedup.scan([t.encode()], known)[0][3][0].item(): substring_dedup.band_keys([t.encode().split()], known, minhash, 2, 5)[0].view(np.int64).tolist() for t in lines}
+    keys = {}
+    for r in substring_dedup.bands(rows).collect():
+        keys.setdefault(r.unit, []).append(r.key)
+    assert keys == alone
