@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import components, materialise, table
+from graphfold.llm.common import components, materialise, sieved, table
 from graphfold.llm.jaccard import MinHash, WordHash, exact_classes, groups, local_classes, shingles
 
 COORDINATES = 64
@@ -109,6 +109,8 @@ def chosen_paths(sketches: DataFrame, threshold: float = 0.8, recall: float = 0.
     for d in range(depth + 1):
         # written before the join, which can thus split the rows of a frequent bucket
         n = materialise(level.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"), "buckets")
+        if d == 0:
+            level = sieved(level, n, "path")  # most texts are alone in most buckets; later levels hold few rows
         rows = materialise(level.join(n, "path").select("path", "id", "n", "leader"), "buckets")
         force.append(rows.where(F.col("n") <= small).select("path", "id"))
         large = rows.where(F.col("n") > small)
@@ -143,8 +145,8 @@ def text_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> Data
     ``class_text`` the class's own number, ``links`` the other documents that are similar, copies included."""
     sketches = sketch_texts(docs, size)
     superclusters = components(chosen_paths(sketches, threshold))
-    clusters = superclusters.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    texts = docs.select(F.xxhash64("text").alias("id"), F.col("text")).join(clusters.select("id"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    clusters = materialise(superclusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
+    texts = sieved(docs.select(F.xxhash64("text").alias("id"), F.col("text")), clusters, "id").join(clusters.select("id"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     units = texts.join(sketches.select("id", "copies"), "id")
     found = exact_classes(units, clusters, threshold, size)
     every = sketches.select("id", "copies", "least_doc").join(found, "id", "left").select("id", "copies", "least_doc", F.coalesce("class", "id").alias("class_text"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
