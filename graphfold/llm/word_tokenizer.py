@@ -9,6 +9,7 @@ other word, and words that hold a special token, go through the library's full p
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import regex
@@ -34,7 +35,8 @@ class WordTokenizer:
 
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
-        self.special = [t.content.encode() for t in self.full.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content.encode()) for t in self.full.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(special) or b"(?!)").search
         self.table = byte_alphabet()
         self.keep, self.words, self.parts = keep, {}, {}
 
@@ -47,11 +49,11 @@ class WordTokenizer:
 
     def _part(self, part: str) -> bytes:
         shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.table)
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
 
     def word(self, word: bytes) -> bytes:
         text = word.decode()
-        if not PLAIN.fullmatch(text) or any(s in word for s in self.special):
+        if not PLAIN.fullmatch(text) or self.special(word):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         low, out = text.lower(), b""
         for part in (low,) if low.isalpha() else CUT.findall(low):

@@ -6,11 +6,12 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
-from graphfold.llm import best_fit_packing, chat_format, quality_rules, secret_scan
+from graphfold.llm import best_fit_packing, chat_format, quality_rules, secret_scan, word_tokenizer
 
 EDGE = [
     (1, "a b c a b c d", "en", "s1", 13),
@@ -247,3 +248,15 @@ def test_redaction_replaces_what_the_scan_keeps(spark):
         want[d, t, len(t) if kept[d] else n] += 1
     assert got == want
     assert got[0, f"see {shared} here", 5] == 1 and got[3, f"{shared} [secret] [secret] end", len(shared) + 22] == 2
+
+
+def test_special_tokens_are_sought_once_a_word():
+    """One search for all special tokens, with the library's ids."""
+    from public_tokenizers import path
+
+    tok = word_tokenizer.WordTokenizer(path("word_bpe_49k.json"))
+    special = next(iter(tok.full.get_added_tokens_decoder().values())).content
+    assert tok.special(f"a{special}b".encode()) and not tok.special(b"plain")
+    texts = ["Plain words, it's 42 x", f"a{special}b {special} c", "Éa ñ-ü \u4e2d\u6587 \u0130", ""]
+    for t, ids in zip(texts, tok.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.full.encode(t, add_special_tokens=False).ids
