@@ -32,6 +32,14 @@ SUFFIX = 3  # bytes of a token's end that name its class
 BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, vocab array<binary>, train array<long>, stream binary"
 
 
+class Numbers(dict):
+    """token -> its number, in the order of first appearance."""
+
+    def __missing__(self, token: bytes) -> int:
+        n = self[token] = len(self)
+        return n
+
+
 def blocks_of(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of whole documents; materialised, so that block numbers stay what they are. Local token 0 is the end (as b'')."""
 
@@ -39,26 +47,25 @@ def blocks_of(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> Data
         task, seq, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(3)
 
         def flush():
-            train = np.zeros(len(local), np.int64)
-            for h, s in zip(held, streams, strict=True):
-                if not h:
-                    train += np.bincount(s, minlength=len(local))
             data = np.concatenate(streams).astype("<i4")
+            # one count over the block: one for each text would walk the whole vocabulary each time
+            learned = np.repeat(~np.array(held, bool), [len(s) for s in streams])
+            train = np.bincount(data[learned], minlength=len(local)).astype(np.int64)
             row = {"block": [task << 32 | seq], "doc_ids": pa.array([ids], pa.list_(pa.int64())), "held": [held], "lengths": pa.array([[len(s) for s in streams]], pa.list_(pa.int32())), "vocab": pa.array([list(local)], pa.list_(pa.binary())), "train": pa.array([train], pa.list_(pa.int64())), "stream": pa.array([pack.compress(data.tobytes())], pa.binary())}
             return pa.RecordBatch.from_pydict(row)
 
-        local, ids, held, streams, size = {b"": 0}, [], [], [], 0
+        local, ids, held, streams, size = Numbers({b"": 0}), [], [], [], 0
         for b in batches:
             for d, h, t in zip(b.column("doc_id").to_pylist(), b.column("held").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 words = (t or b"").lower().split()
                 s = np.zeros(len(words) + 1, np.int32)
-                s[:-1] = np.fromiter((local.setdefault(w, len(local)) for w in words), np.int32, len(words))
+                s[:-1] = np.fromiter(map(local.__getitem__, words), np.int32, len(words))
                 ids.append(d), held.append(h), streams.append(s)
                 size += len(t or b"")
                 if size >= block_bytes:
                     yield flush()
                     seq += 1
-                    local, ids, held, streams, size = {b"": 0}, [], [], [], 0
+                    local, ids, held, streams, size = Numbers({b"": 0}), [], [], [], 0
         if ids:
             yield flush()
 

@@ -643,3 +643,26 @@ def test_only_texts_of_superclusters_are_shuffled(spark):
     for r in substring_dedup.bands(rows).collect():
         keys.setdefault(r.unit, []).append(r.key)
     assert keys == alone
+
+
+def test_numbers_of_tokens_and_training_counts_of_a_block(spark, monkeypatch):
+    """One count over a block, whatever the number of its texts."""
+    seen = []
+    count = np.bincount
+    monkeypatch.setattr(lm_scoring.np, "bincount", lambda *a, **b: seen.append(1) or count(*a, **b))
+    numbers = lm_scoring.Numbers({b"": 0})
+    assert [numbers[w] for w in (b"a", b"b", b"a", b"")] == [1, 2, 1, 0] and list(numbers) == [b"", b"a", b"b"]
+
+    class Frame:  # runs blocks_of's function here
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.rows = list(run([pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "held": [False, True, False], "text": ["a b A", "b c", None]})]))
+            return self
+
+    monkeypatch.setattr(lm_scoring, "materialise", lambda df, _: df)
+    monkeypatch.setattr(lm_scoring, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    (block,) = lm_scoring.blocks_of(Frame(), F.lit(False)).rows
+    assert dict(zip(block.column("vocab")[0].as_py(), block.column("train")[0].as_py(), strict=True)) == {b"": 2, b"a": 2, b"b": 1, b"c": 0}
+    assert len(seen) == 1
