@@ -19,6 +19,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,20 +59,21 @@ def _agreement(rows: pd.Series, other: pd.Series) -> np.ndarray:
     return (a == b).mean(1)
 
 
-def _to_leader(rows: DataFrame) -> DataFrame:
-    """Rows (path, id, sketch, leader, leader_sketch) -> (path, id, leader, same): the share of coordinates that agree."""
+def _to_leader(rows: DataFrame, sure: float) -> DataFrame:
+    """Rows (path, id, sketch, leader, leader_sketch) -> (path, id, leader, same, sketch): the share of coordinates that agree, and the sketch where that is below ``sure``."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 same = _agreement(pd.Series(b.column("sketch").to_pylist()), pd.Series(b.column("leader_sketch").to_pylist()))
-                yield pa.RecordBatch.from_pydict({"path": b.column("path"), "id": b.column("id"), "leader": b.column("leader"), "same": same})
+                sketch = pc.if_else(pa.array(same < sure), b.column("sketch"), pa.scalar(None, b.column("sketch").type))
+                yield pa.RecordBatch.from_pydict({"path": b.column("path"), "id": b.column("id"), "leader": b.column("leader"), "same": same, "sketch": sketch})
 
-    return rows.mapInArrow(run, "path long, id long, leader long, same double")
+    return rows.mapInArrow(run, "path long, id long, leader long, same double, sketch binary")
 
 
 def _brute_force(rows: DataFrame, tie: float) -> DataFrame:
-    """Bounded buckets (path, id, sketch) -> ties (a, b)."""
+    """Bounded buckets (path, id, sketch) -> ties (a, b) to the least id of what a bucket holds together."""
 
     def run(batches):
         for f, cuts in groups(batches, ["path"]):
@@ -90,7 +92,7 @@ def _brute_force(rows: DataFrame, tie: float) -> DataFrame:
                 e = np.concatenate(out, 1)
                 yield pa.RecordBatch.from_pydict({"a": e[0], "b": e[1]})
 
-    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
+    return rows.repartition("path").sortWithinPartitions("path", "id").mapInArrow(run, "a long, b long")
 
 
 def chosen_paths(sketches: DataFrame, threshold: float = 0.8, recall: float = 0.999999, fan: int = 2, small: int = 1024, depth: int = 4) -> DataFrame:
@@ -111,26 +113,29 @@ def chosen_paths(sketches: DataFrame, threshold: float = 0.8, recall: float = 0.
         n = materialise(level.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"), "buckets")
         if d == 0:
             level = sieved(level, n, "path")  # most texts are alone in most buckets; later levels hold few rows
-        rows = materialise(level.join(n, "path").select("path", "id", "n", "leader"), "buckets")
+        # below the root, the rows of large buckets bring their sketches along
+        rows = level.join(n, "path").select("path", "id", "n", "leader", *([F.when(F.col("n") > small, F.col("sketch")).alias("sketch")] if d else []))
+        rows = materialise(rows, "buckets")
         force.append(rows.where(F.col("n") <= small).select("path", "id"))
-        large = rows.where(F.col("n") > small)
-        if large.isEmpty():
+        large = rows.where(F.col("n") > small).drop("n")
+        # one row for each large bucket; so few that joins with it need no shuffle
+        leaders = materialise(large.where("id = leader").drop("leader"), "leaders")
+        if leaders.isEmpty():
             break
         if d == 0:
-            # the rows of later levels and their leaders are among these, most often a small share of all
-            inner = materialise(sketches.select("id", "sketch").join(large.select("id"), "id", "left_semi"), "large")
-        led = large.join(inner, "id").join(inner.select(F.col("id").alias("leader"), F.col("sketch").alias("leader_sketch")), "leader")
-        split = materialise(_to_leader(led), "led")
+            large = large.join(sketches.select("id", "sketch"), "id")
+            leaders = materialise(sketches.select("id", "sketch").join(leaders, "id"), "leaders")
+        split = materialise(_to_leader(large.join(leaders.select("path", F.col("sketch").alias("leader_sketch")), "path"), sure), "led")
         ties.append(split.where((F.col("same") >= tie / 2) & (F.col("id") != F.col("leader"))).select(F.col("id").alias("a"), F.col("leader").alias("b")))
-        left = split.where(F.col("same") < sure).select("path", "id", "same")
+        left = split.where(F.col("same") < sure).select("path", "id", "same", "sketch")
         count = materialise(left.groupBy("path").agg(F.count("*").alias("n"), F.avg("same").alias("mean")), "left")
-        left = left.select("path", "id").join(count, "path")
+        left = left.select("path", "id", "sketch").join(count, "path")
         alike = (F.col("n") <= small) | (F.col("mean") >= threshold - 0.4) | F.lit(d == depth)
         blocks = left.where(alike).withColumn("nb", F.ceil(F.col("n") / small).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), "nb").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         force.append(blocks.select(F.xxhash64("path", F.lit("blocks"), F.least("own", "o"), F.greatest("own", "o")).alias("path"), "id"))
         coordinate = lambda j: F.pmod(F.xxhash64("path", F.lit(j)), F.lit(COORDINATES)).cast("int")
         down = F.array(*(F.xxhash64("path", F.lit(j), _at(coordinate(j))) for j in range(fan)))
-        level = left.where(~alike).select("path", "id").join(inner, "id").select("id", F.explode(down).alias("path"))
+        level = left.where(~alike).select("id", "sketch", F.explode(down).alias("path"))
     every = force[0]
     for f in force[1:]:
         every = every.unionByName(f)
@@ -149,9 +154,11 @@ def text_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> Data
     texts = sieved(docs.select(F.xxhash64("text").alias("id"), F.col("text")), clusters, "id").join(clusters.select("id"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     units = texts.join(sketches.select("id", "copies"), "id")
     found = exact_classes(units, clusters, threshold, size)
-    every = sketches.select("id", "copies", "least_doc").join(found, "id", "left").select("id", "copies", "least_doc", F.coalesce("class", "id").alias("class_text"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    least = every.groupBy("class_text").agg(F.min("least_doc").alias("class_id"))
-    return every.join(least, "class_text").select("id", "class_id", "class_text", "links")
+    # every member of a class of two texts or more has a link; any other text is a class of its own
+    linked = materialise(found.join(sketches.select("id", "least_doc"), "id"), "linked")
+    named = linked.join(linked.groupBy("class").agg(F.min("least_doc").alias("class_id")), "class").select("id", "class", "class_id", "links")
+    every = sketches.select("id", "copies", "least_doc").join(named, "id", "left")
+    return every.select("id", F.coalesce("class_id", "least_doc").alias("class_id"), F.coalesce("class", "id").alias("class_text"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
 
 
 def join_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:

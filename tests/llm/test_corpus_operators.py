@@ -610,6 +610,39 @@ def test_a_sieve_loses_nothing_and_lets_few_pass(spark):
     assert not sieve(ids.where("false"), "id").value(other).any()
 
 
+def jobs(spark, run):
+    """What ``run`` returns, and the number of Spark jobs that it takes."""
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_small_steps_take_few_jobs_whatever_the_partitions(spark):
+    """A sieve is collected at once, and few edges are settled without rounds; rounds, one task after a round and one task at once agree."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    ids = spark.range(2_000).select(F.xxhash64("id").alias("id"))
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(240)] + [(i, i + 1) for i in range(400, 420)] + [(500, x) for x in range(501, 540)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    named = frame.select(F.format_string("n%03d", "a").alias("a"), F.format_string("n%03d", "b").alias("b"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got, n = jobs(spark, lambda: sieve(ids, "id").value)
+        assert got(ids.toPandas()["id"].to_numpy()).all() and n < 10
+        once, n = jobs(spark, lambda: {(r.node, r.component) for r in components(frame).collect()})
+        assert n < 10
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for few in (0, 250):
+        assert {(r.node, r.component) for r in components(frame, few=few).collect()} == once
+    assert {(r.node, r.component) for r in components(named).collect()} == {(f"n{a:03d}", f"n{b:03d}") for a, b in once}
+
+
 def shuffle_files(spark):
     return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
 
